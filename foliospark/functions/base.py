@@ -109,3 +109,11 @@ def constant_doubles(values: Sequence[float]) -> Column:
 
 def constant_strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
+
+
+def python_round(value: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to even, as Python's ``round`` does.
+
+    ``bround`` rounds the shortest decimal form instead and differs where that form is a tie.
+    """
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits)).cast("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark import fixed
-from foliospark.functions.base import col, strip_space
+from foliospark.functions.base import col, python_round, strip_space
 from foliospark.functions.invoice import FIELD_NAMES, FIELDS_TYPE
 from foliospark.functions.language import is_non_english, language_name
 
@@ -62,7 +62,7 @@ def summary(label: Column | str, confidence: Column | str) -> Column:
 
 def percent(confidence: Column | str) -> Column:
     """Share as percent with one decimal, exact ties to the even digit."""
-    return F.bround(col(confidence) * 100, 1)
+    return python_round(col(confidence) * 100, 1)
 
 
 def low_quality(words: Column | str) -> Column:
