@@ -172,7 +172,7 @@ def metrics_tiles(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------- training
 
-GRID, FOLDS, ITERATIONS = (0.1, 1.0, 10.0), 3, 30
+GRID, FOLDS, ITERATIONS = (0.1, 1.0, 10.0), 3, 12
 
 
 def corpus(t: Tables) -> DataFrame:

@@ -53,9 +53,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
-    Used where one frame feeds many jobs (every fit of a model search).  A lost executor then costs a
+    Used where one frame feeds many jobs (every fit of a model search).  Rebalancing first gives files of
+    even size, whatever the skew of the rows before.  A lost executor then costs a
     re-read of the table instead of the recomputation of everything before it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
