@@ -37,17 +37,31 @@ def steady(pattern: str) -> str:
     return pattern
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between the bars outside of brackets."""
+    parts, depth = [""], 0
+    for piece in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", pattern, re.S):
+        depth += (piece == "(") - (piece == ")")
+        if piece == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return parts
+
+
 def literal_first(pattern: str) -> str:
-    """Move the look-behind or boundary at the head of a pattern behind the literal after it.
+    """Move the look-behind or boundary at the head of each alternative behind the literal after it.
 
     ``(?<=[a-z])rn`` and ``rn(?<=[a-z]rn)`` match the same places, but the second only looks back where
     the literal stands, not at every character.
     """
-    head = re.match(r"(?:\(\?<([=!])((?:\[[^\]]*\]|\\d))\)|(\\b))((?:\\\||\w)+)(.*)$", pattern)
-    if head is None:
-        return pattern
-    kind, before, boundary, literal, rest = head.groups()
-    return f"{literal}(?<{kind or '='}{before or boundary}{literal}){rest}"
+    head = r"(?:\(\?<([=!])((?:\[[^\]]*\]|\\d))\)|(\\b))((?:\\\||\w)+)"
+
+    def turn(found: re.Match) -> str:
+        kind, before, boundary, literal = found.groups()
+        return f"{literal}(?<{kind or '='}{before or boundary}{literal})"
+
+    return "|".join(re.sub("^" + head, turn, part) for part in _alternatives(pattern))
 
 
 def col(value: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark import fixed
-from foliospark.functions.base import col, count_matches, flags, let
+from foliospark.functions.base import col, count_matches, flags, let, literal_first
 
 
 def clean_tokens(text: Column | str) -> Column:
@@ -114,11 +114,14 @@ _NEEDS = {
 def structural_counts(text: Column | str, guarded: bool = True) -> list[Column]:
     """One named count per structural feature, on the raw text."""
     raw = F.coalesce(col(text), F.lit(""))
-    # Upper, then lower: the same folding that case-insensitive matching applies.
-    folded = F.lower(F.upper(raw))
+    # Case-insensitive matching also takes these four letters for s, i, i and k.
+    folded = raw
+    for odd, letter in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        folded = F.replace(folded, F.lit(odd), F.lit(letter))
+    folded = F.lower(folded)
     out = []
     for name, pattern in fixed.STRUCTURAL_FEATURES.items():
-        count = count_matches(raw, flags(pattern, "im"))
+        count = count_matches(raw, flags(literal_first(pattern), "im"))
         if guarded and name in _NEEDS:
             present = F.lit(False)
             for piece in _NEEDS[name]:

@@ -13,9 +13,11 @@ PAGE_BREAK = "\n\n"
 PAGES_PER_PIECE = 256
 
 
-def _join_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+def _join_pages(
+    pages: DataFrame, doc: str, page: str, text: str, carried: str | None = None
+) -> DataFrame:
     """``(doc, text)``: page texts in page order with a blank line between them; null texts are left
-    out, a document of null texts only gets a null.
+    out, a document of null texts only gets a null.  ``carried`` is kept from the last page with text.
 
     Pages are first joined in pieces of consecutive pages, so the pages of one very long document
     are gathered by many tasks; only the joined pieces meet in one row.
@@ -25,12 +27,15 @@ def _join_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
         entry = F.struct(F.col(order).alias("at"), F.col(text).alias("text"))
         ordered = F.sort_array(F.collect_list(entry))
         joined = F.array_join(F.transform(ordered, lambda e: e["text"]), PAGE_BREAK)
-        present = F.count(text) > 0
-        return df.groupBy(*keys).agg(F.when(present, joined).alias(text))
+        out = [F.when(F.count(text) > 0, joined).alias(text)]
+        if carried:
+            last = F.max_by(carried, F.when(F.col(text).isNotNull(), F.col(order)))
+            out.append(last.alias(carried))
+        return df.groupBy(*keys).agg(*out)
 
+    kept = [doc, page, text] + ([carried] if carried else [])
     piece = F.floor(F.col(page) / PAGES_PER_PIECE).alias("_piece")
-    pieces = gather(pages.select(doc, page, text, piece), [doc, "_piece"], page)
-    return gather(pieces, [doc], "_piece")
+    return gather(gather(pages.select(*kept, piece), [doc, "_piece"], page), [doc], "_piece")
 
 
 def assemble_pages(
@@ -116,10 +121,29 @@ def choose_ocr(
     ).withColumnRenamed("words", "word_count")
 
 
-def ocr_documents(attempts: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:
-    """Pages chosen from their attempts, then joined to documents; unreadable pages count as empty."""
-    chosen = choose_ocr(attempts, doc, page)
-    return assemble_ocr_pages(chosen.select(doc, page, "text"), doc, page)
+def ocr_documents(
+    attempts: DataFrame, doc: str = "doc_id", page: str = "page_no", compat_last_page: bool = False
+) -> DataFrame:
+    """``(doc, text, error, ocr_engine, word_count)``: pages chosen from their attempts, then joined;
+    unreadable pages count as empty.
+
+    The engine is that of the last page that could be read.  The word count is that of the joined text,
+    or with ``compat_last_page`` that of the last page alone.
+    """
+    read = F.struct(F.col("ocr_engine").alias("engine"), F.col("word_count").alias("words"))
+    chosen = choose_ocr(attempts, doc, page).select(
+        doc, page, F.nullif(F.col("text"), F.lit("")).alias("text"), read.alias("_read")
+    )
+    joined = _join_pages(chosen, doc, page, "text", "_read")
+    blank = is_blank("text")
+    words = F.col("_read.words") if compat_last_page else word_count("text")
+    return joined.select(
+        doc,
+        F.when(~blank, F.col("text")).alias("text"),
+        F.when(blank, F.lit(fixed.NO_TEXT_ERROR)).alias("error"),
+        F.when(~blank, F.col("_read.engine")).alias("ocr_engine"),
+        F.when(~blank, words).alias("word_count"),
+    )
 
 
 def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:

@@ -141,17 +141,22 @@ def choose_ocr(t: Tables) -> DataFrame:
     with {_ATTEMPTS},
     joined as (
         select doc_id, string_agg(case when n >= {fixed.MIN_USABLE_WORDS} then nullif(text, '') end,
-            {_BREAK} order by page_no) as whole
+            {_BREAK} order by page_no) as whole,
+            arg_max(engine, page_no) filter (n >= {fixed.MIN_USABLE_WORDS}) as engine,
+            arg_max(n, page_no) filter (n >= {fixed.MIN_USABLE_WORDS}) as last_words
         from final group by doc_id
     )
-    select doc_id, case when {sql.strip("coalesce(whole, '')")} <> '' then whole end as text,
-        case when {sql.strip("coalesce(whole, '')")} = '' then {sql.quoted(fixed.NO_TEXT_ERROR)} end
-            as error
+    select doc_id, whole as text, engine as ocr_engine, {sql.words('whole')} as all_words, last_words,
+        case when whole is null then {sql.quoted(fixed.NO_TEXT_ERROR)} end as error
     from joined
     """,
 )
 def ocr_documents(t: Tables) -> DataFrame:
-    return pg.ocr_documents(ocr_attempts(t))
+    joined = pg.ocr_documents(ocr_attempts(t)).withColumnRenamed("word_count", "all_words")
+    last = pg.ocr_documents(ocr_attempts(t), compat_last_page=True)
+    return joined.join(
+        last.select("doc_id", F.col("word_count").alias("last_words")), "doc_id"
+    ).withColumn("all_words", F.coalesce("all_words", F.lit(0)))
 
 
 @register("fix_ocr", f"select doc_id, {sql.fix_ocr('text')} as text from {{documents}}")

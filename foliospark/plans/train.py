@@ -26,9 +26,9 @@ from foliospark.operators.pages import drop_blank
 from foliospark.operators.splitting import (
     class_counts,
     fold_count,
+    guards_from_counts,
     kfold,
     stratified_split,
-    training_guards,
     wants_search,
 )
 from foliospark.session import materialise
@@ -79,7 +79,8 @@ def train(
     spark = docs.sparkSession
     docs = drop_blank(docs, text).where(F.col(label).isNotNull())
     sizes = {r[label]: r["documents"] for r in class_counts(docs, label).limit(10_000).collect()}
-    guards = training_guards(docs, label).first()
+    counts = spark.createDataFrame(list(sizes.items()), "label string, documents bigint")
+    guards = guards_from_counts(counts).first()
     if not guards["can_train"]:
         raise ValueError(f"only {guards['documents']} documents; at least {fixed.MIN_DOCUMENTS} needed")
     if guards["classes"] < 2:
@@ -92,8 +93,8 @@ def train(
     searched = None
     train_rows = guards["documents"]
     if guards["can_split"]:
-        parts = stratified_split(docs.select(doc, text, label), fixed.TEST_SHARE, seed, label, doc)
         if leak_free:
+            parts = stratified_split(docs.select(doc, text, label), fixed.TEST_SHARE, seed, label, doc)
             inner = FeatureModel.fit(parts.where("part = 'train'"), text, doc, min_df, max_features)
             split = _vectors(docs, inner, classes, doc, text, label)
         else:
