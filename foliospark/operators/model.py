@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,24 +29,42 @@ class LinearFit:
         return linear_scores(entries, self.weights, self.intercepts)
 
 
-def fit_svm(frame: DataFrame, c: float, max_iter: int = 50, parallelism: int = 4) -> LinearFit:
-    """One linear SVM per class on ``(features, label_index)``.
+def fit_svm(
+    frame: DataFrame, c: float, max_iter: int = 50, parallelism: int = 4, classes: int | None = None
+) -> LinearFit:
+    """One linear SVM per class on ``(features, label_index)``, the class against all others.
 
     With regParam = 1 / (C n) the objective is C times the summed hinge loss plus half the squared
-    norm.
+    norm.  ``classes`` is needed where ``frame`` may lack some, as a training fold may: such a class gets
+    a constant negative margin.
     """
-    rows = frame.count()
+    sizes = {int(r[0]): r[1] for r in frame.groupBy("label_index").count().collect()}
+    rows = sum(sizes.values())
+    count = classes if classes is not None else max(sizes) + 1
     svm = LinearSVC(
-        regParam=1.0 / (c * max(rows, 1)), maxIter=max_iter, tol=1e-4, standardization=False
-    )
-    fitted = OneVsRest(
-        classifier=svm, featuresCol="features", labelCol="label_index", parallelism=parallelism
-    ).fit(frame)
-    return LinearFit(
-        [m.coefficients.toArray().tolist() for m in fitted.models],
-        [float(m.intercept) for m in fitted.models],
+        featuresCol="features",
+        labelCol="_target",
+        regParam=1.0 / (c * rows),
+        maxIter=max_iter,
+        tol=1e-4,
+        standardization=False,
     )
 
+    def fit(k: int) -> tuple[list[float], float] | None:
+        if sizes.get(k, 0) in (0, rows):
+            return None
+        target = (F.col("label_index") == k).cast("double")
+        fitted = svm.fit(frame.select("features", target.alias("_target")))
+        return fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+
+    with ThreadPool(parallelism) as pool:
+        fits = pool.map(fit, range(count))
+    constant = [0.0] * frame.select("features").first()["features"].size
+    for k, found in enumerate(fits):
+        if found is None:
+            fits[k] = (constant, 1.0 if sizes.get(k, 0) else -1.0)
+    return LinearFit([w for w, _ in fits], [b for _, b in fits])
+
 
 def vector_entries(features: str = "features") -> Column:
     return F.unwrap_udt(features)
@@ -61,11 +79,15 @@ def held_out_margins(frame: DataFrame, fits: Sequence[LinearFit]) -> DataFrame:
 
 
 def fit_folds(
-    frame: DataFrame, c: float, folds: int, max_iter: int, parallelism: int
+    frame: DataFrame, c: float, folds: int, max_iter: int, parallelism: int, classes: int | None = None
 ) -> list[LinearFit]:
+    """One fit per fold, on the rows of the other folds."""
+    if classes is None:
+        classes = int(frame.agg(F.max("label_index")).first()[0]) + 1
     with ThreadPool(parallelism) as pool:
         return pool.map(
-            lambda fold: fit_svm(frame.where(F.col("fold") != fold), c, max_iter, 1), range(folds)
+            lambda fold: fit_svm(frame.where(F.col("fold") != fold), c, max_iter, 1, classes),
+            range(folds),
         )
 
 
@@ -81,8 +103,9 @@ def grid_search(
     ``frame``: ``(features, label_index, fold)``.
     """
     scores = []
+    classes = int(frame.agg(F.max("label_index")).first()[0]) + 1
     for c in grid:
-        fits = fit_folds(frame, c, folds, max_iter, parallelism)
+        fits = fit_folds(frame, c, folds, max_iter, parallelism, classes)
         hits = (argmax(F.col("margins")) == F.col("label_index")).cast("double")
         by_fold = held_out_margins(frame, fits).groupBy("fold").agg(F.avg(hits).alias("share"))
         scores.append((c, float(by_fold.agg(F.avg("share")).first()[0])))

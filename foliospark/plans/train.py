@@ -109,7 +109,7 @@ def train(
             folded = kfold(train_part, folds, seed, label, doc)
             searched, cv = best_c(grid_search(folded, folds, c_grid, max_iter, parallelism))
             chosen = searched
-        trial = fit_svm(train_part, chosen, max_iter, parallelism)
+        trial = fit_svm(train_part, chosen, max_iter, parallelism, len(classes))
         guess = F.get(
             F.array(*[F.lit(c) for c in classes]),
             argmax(trial.margins(vector_entries())).cast("int"),
@@ -122,10 +122,10 @@ def train(
             for r in per_class_metrics(judged).collect()
         }
 
-    final = fit_svm(everything, chosen, max_iter, parallelism)
+    final = fit_svm(everything, chosen, max_iter, parallelism, len(classes))
     folds = min(max_folds, fold_count(guards["smallest_class"]))
     folded = kfold(everything, folds, seed, label, doc)
-    unseen = held_out_margins(folded, fit_folds(folded, chosen, folds, max_iter, parallelism))
+    unseen = held_out_margins(folded, fit_folds(folded, chosen, folds, max_iter, parallelism, len(classes)))
     sigmoids = fit_calibration(unseen, len(classes))
 
     report = (
