@@ -109,7 +109,16 @@ def _first_name(lines: Column, skip: str, number_line: str) -> Column:
 
 def name_from_snippet(snippet: Column) -> Column:
     """First name-like line of a piece of text that follows a party label."""
-    return _first_name(split_lines(snippet), fixed.SNIPPET_SKIP, fixed.SNIPPET_NUMBER_LINE)
+
+    def search(lines: Column) -> Column:
+        # Mostly one of the first two lines is the name; the rest is only read when neither is.
+        near = F.slice(lines, F.lit(1), F.lit(2))
+        return F.coalesce(
+            _first_name(near, fixed.SNIPPET_SKIP, fixed.SNIPPET_NUMBER_LINE),
+            _first_name(lines, fixed.SNIPPET_SKIP, fixed.SNIPPET_NUMBER_LINE),
+        )
+
+    return let(split_lines(snippet), search)
 
 
 def _party(text: Column | str, label: str) -> Column:
@@ -126,10 +135,15 @@ def recipient(text: Column | str) -> Column:
 
 def issuer_from_top(text: Column | str) -> Column:
     """First name-like line among the top non-empty lines."""
-    # Only the head that holds these lines is cut out before it is split.
-    head = rf"^((?:{SPACE}*+{NOT_SPACE}{LINE_CHAR}*+){{0,{fixed.TOP_LINES}}})"
-    lines = split_lines(F.regexp_extract(col(text), head, 1))
-    return _first_name(lines, fixed.TOP_SKIP, fixed.TOP_NUMBER_LINE)
+
+    def within(count: int) -> Column:
+        # Only the head that holds these lines is cut out before it is split.
+        head = rf"^((?:{SPACE}*+{NOT_SPACE}{LINE_CHAR}*+){{0,{count}}})"
+        lines = split_lines(F.regexp_extract(col(text), head, 1))
+        return _first_name(lines, fixed.TOP_SKIP, fixed.TOP_NUMBER_LINE)
+
+    # The answer is mostly in the first lines; the others are only read when it is not.
+    return F.coalesce(within(2), within(fixed.TOP_LINES))
 
 
 def issuer(text: Column | str) -> Column:

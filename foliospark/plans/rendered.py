@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.sources.tables import read_table
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+# Tables whose rows take much work each.
+TEXT_TABLES = ["documents", "pages", "conversations", "embeddings"]
 
 
 def _padded(expression: str, width: int) -> str:
@@ -272,7 +276,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return read_table(self.spark, path) if name in TEXT_TABLES else self.spark.read.parquet(path)
 
     def derive(self, statement: str) -> DataFrame:
         used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in statement}

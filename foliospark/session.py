@@ -25,6 +25,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "foliospa
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Small test tables: keep all cores busy instead of merging partitions up to 1 MB.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

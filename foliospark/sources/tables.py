@@ -1,0 +1,20 @@
+"""Reading parquet tables for work that is heavy per row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, dealt out to all cores.
+
+    A table of a few files, or of a few row groups, would keep most cores idle through all pattern
+    matching.  Such a table is small (splits times the maximal split size), so moving it once is cheap;
+    a table with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spread(spark.read.parquet(path))
