@@ -118,7 +118,9 @@ def best_c(scores: Sequence[tuple[float, float]]) -> tuple[float, float]:
     return next((c, score) for c, score in scores if score == top)
 
 
-def fit_calibration(margins: DataFrame, classes: int) -> list[tuple[float, float]]:
+def fit_calibration(
+    margins: DataFrame, classes: int, parallelism: int = 4
+) -> list[tuple[float, float]]:
     """Slope and offset of each class's sigmoid, from held-out ``(label_index, margins)``.
 
     Targets are smoothed: (n+1)/(n+2) for the n rows of the class, 1/(m+2) for the m others.  Each row
@@ -127,8 +129,8 @@ def fit_calibration(margins: DataFrame, classes: int) -> list[tuple[float, float
     margins = margins.select("label_index", "margins").persist()
     sizes = {int(r[0]): r[1] for r in margins.groupBy("label_index").count().collect()}
     total = sum(sizes.values())
-    out = []
-    for k in range(classes):
+
+    def fit(k: int) -> tuple[float, float]:
         inside = sizes.get(k, 0)
         high, low = (inside + 1) / (inside + 2), 1 / (total - inside + 2)
         target = F.when(F.col("label_index") == k, high).otherwise(low)
@@ -145,7 +147,10 @@ def fit_calibration(margins: DataFrame, classes: int) -> list[tuple[float, float
         fitted = LogisticRegression(
             featuresCol="x", labelCol="y", weightCol="w", maxIter=50, standardization=False
         ).fit(rows)
-        out.append((float(fitted.coefficients[0]), float(fitted.intercept)))
+        return float(fitted.coefficients[0]), float(fitted.intercept)
+
+    with ThreadPool(parallelism) as pool:
+        out = pool.map(fit, range(classes))
     margins.unpersist()
     return out
 

@@ -281,7 +281,7 @@ def language_profile(t: Tables) -> DataFrame:
         select d.doc_id, m.lang, sum(d.tf * ln((coalesce(k.n, 0) + 1) / m.mass)) as score
         from per_doc d
         join best b on b.gram = d.gram
-        cross join mass m
+        join mass m on true
         left join known k on k.gram = d.gram and k.lang = m.lang
         group by d.doc_id, m.lang
     ),
