@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import line_dedup
+from foliospark.llm import exact_dedup, line_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,9 +47,35 @@ select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped
 from marked group by doc_id
 """
 
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, folder, "documents"))
+
+
+OP8_SQL = """
+with normal as (
+    select doc_id, translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm
+    from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+    doc_id = max(doc_id) over same as kept, sha256(norm) as text_sha256
+from normal window same as (partition by norm)
+"""
+
+
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, folder, "documents"))
+    return groups.select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op8_exact_dedup": OP8_SQL,
 }
