@@ -44,12 +44,12 @@ def powers(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 12)
         known = np.empty(size, np.uint64)
         known[0] = 1
-        filled, factor = 1, np.uint64(base)
+        filled, factor = 1, base
         while filled < size:
             step = min(filled, size - filled)
-            known[filled : filled + step] = known[:step] * factor
+            known[filled : filled + step] = known[:step] * np.uint64(factor)
             filled += step
-            factor = factor * factor
+            factor = factor * factor % (1 << 64)
         _BASE[base] = known
     return known[:n]
 
@@ -105,6 +105,43 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+BLANK = 32
+
+
+class Chars:
+    """Character n-grams of several texts, each with a blank on both sides and every blank alike.
+
+    An n-gram lies within a word; its first and last character may be the blank next to it.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+        self.edges = offsets + np.arange(len(offsets))
+        chars = np.insert(data, offsets, BLANK)
+        chars = np.where(IS_SPACE[chars], np.uint8(BLANK), LOWER[chars] if lower else chars)
+        self.rolling = Rolling(BYTE_VALUES[chars], BYTE_BASE)
+        self.begins = np.append(np.flatnonzero((chars & 0xC0) != 0x80), len(chars))
+        self.blank = chars[self.begins[:-1]] == BLANK
+        self.blanks = np.append(0, np.cumsum(self.blank))
+
+    def _first(self, starts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(starts, self.edges)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in text order, and where each text begins among them."""
+        ends = self.begins[np.flatnonzero(~self.blank[:-1] & self.blank[1:]) + 1]
+        starts = self.begins[np.flatnonzero(self.blank[:-1] & ~self.blank[1:]) + 1]
+        return self.rolling.runs(starts, ends), self._first(starts)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        count = max(len(self.blank) - n + 1, 0)
+        if n == 1:
+            inner = np.flatnonzero(~self.blank)
+        else:
+            inner = np.flatnonzero(self.blanks[n - 1 : n - 1 + count] == self.blanks[1 : 1 + count])
+        starts = self.begins[inner]
+        return self.rolling.runs(starts, self.begins[inner + n]), self._first(starts)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
