@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, language_id, line_dedup, quality, simhash, toxicity
+from foliospark.llm import exact_dedup, language_id, line_dedup, quality, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,43 @@ def _sha256(text) -> F.Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    done = substring_dedup.without_repeats(docs, substring_dedup.repeated_intervals(docs))
+    return done.select("row.doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+with words as (
+    select doc_id, unnest(parts) as word, unnest(range(len(parts))) as i
+    from (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as parts
+        from documents
+    )
+),
+windows as (
+    select doc_id, i, word, count(*) over ahead as size, string_agg(word, ' ') over ahead as content
+    from words
+    window ahead as (partition by doc_id order by i rows between current row and 34 following)
+),
+repeated as (
+    select content from windows where size = 35 group by content having count(*) > 1
+),
+marked as (
+    select doc_id, i, word, size = 35 and content in (select content from repeated) as start from windows
+),
+covered as (
+    select doc_id, i, word, bool_or(start) over (
+        partition by doc_id order by i rows between 34 preceding and current row) as gone
+    from marked
+)
+select doc_id, count(word) as n_words, count(*) filter (where gone) as n_removed,
+    sha256(coalesce(string_agg(word, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from documents left join covered using (doc_id)
+group by doc_id
+"""
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     done = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -86,6 +123,7 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op6_language_id": op6_language_id,
@@ -94,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
