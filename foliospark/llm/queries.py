@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, language_id, line_dedup, quality, simhash, substring_dedup, toxicity
+from foliospark.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    licenses,
+    line_dedup,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +100,15 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, _table(spark, folder, "labels")))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return decontamination.leaks(docs, benchmark)
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(_table(spark, folder, "documents"), licenses.known_digests(spark))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return language_id.predicted(docs, language_id.fit(docs))
@@ -122,17 +142,25 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op5_license_scan": licenses.sql(),
     "op8_exact_dedup": OP8_SQL,
 }

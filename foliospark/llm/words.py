@@ -18,6 +18,7 @@ CHUNK_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
+IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -81,9 +82,9 @@ class Words:
     """The words of several texts: ``starts`` and ``ends`` in ``data``; ``first[d]:first[d + 1]`` are
     those of text ``d``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE):
         self.data, self.offsets = data, offsets
-        solid = ~IS_SPACE[data]
+        solid = ~breaks[data]
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = ~solid[:-1]
         edge[offsets] = True
