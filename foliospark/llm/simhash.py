@@ -9,11 +9,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.components import components
+from foliospark.llm.rows import KEYS, keyed, unpacked
 from foliospark.session import materialise
 
 WIDTH = 3
@@ -208,20 +209,40 @@ def linked(prints: DataFrame, n: int, budget: int = BUDGET, block: int = BLOCK)
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET
 ) -> DataFrame:
-    """``doc_id, print, component_id``, one row per input row.
+    """``doc_id, doc_key, text_key, print, root, component_id``, one row per input row.
 
-    Fingerprints of whole texts link at ``budget`` or fewer differing bits; ``component_id`` is the smallest id
-    that links reach.  Texts without words (null too) have fingerprint 0 and link like any other.  Rows
-    without id take part; their component has the smallest id there is in it, null if there is none.
-    Equal fingerprints are joined once, whatever the number of copies.
+    Fingerprints of whole texts link at ``budget`` or fewer differing bits; ``root`` is one fingerprint of each
+    component and ``component_id`` the smallest id in it.  Texts without words (null too) have
+    fingerprint 0 and link like any other.  Rows without id take part; ``component_id`` is null if no row of
+    the component has one.  Equal fingerprints are joined once, whatever the number of copies.
     """
+    rows = keyed(docs.select(id_col, text_col), id_col, text_col)
+    text = F.col("row").getField(text_col)
     prints = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("print")), "prints"
+        rows.select(F.col("row").getField(id_col).alias("doc_id"), *KEYS, fingerprint_column(text, width).alias("print")),
+        "prints",
     )
     distinct = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     edges = materialise(linked(distinct, distinct.count(), budget), "print-links")
     member = components(edges).withColumnsRenamed({"node": "print"})
     least = member.join(distinct, "print").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = distinct.join(member.join(least, "root").select("print", "least_id"), "print", "left")
-    named = named.select("print", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = distinct.join(member.join(least, "root"), "print", "left").select(
+        "print",
+        F.coalesce("root", "print").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    )
+    return prints.join(named, "print").select("doc_id", *KEYS, "print", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows, with their columns, of one document per component: the one with the smallest id.
+
+    A row without id stays only if no row of its component has one.  Of rows that repeat the id, or have none,
+    the one with the smallest hash of its text stays, and of rows that repeat the text as well, one.
+    """
+    groups = near_groups(docs, id_col, text_col, **how)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEYS)
+    chosen = groups.groupBy("root").agg(F.min(order).alias("best")).select(*[f"best.{k}" for k in KEYS])
+    copies = Window.partitionBy(*KEYS).orderBy(*KEYS)
+    kept = keyed(docs, id_col, text_col).join(chosen, KEYS).withColumn("copy", F.row_number().over(copies))
+    return kept.where("copy = 1").select(*unpacked(docs.schema))
