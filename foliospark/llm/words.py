@@ -135,8 +135,8 @@ class Chars:
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         count = max(len(self.blank) - n + 1, 0)
-        if n == 1:
-            inner = np.flatnonzero(~self.blank)
+        if n <= 2:
+            inner = np.flatnonzero(self.blanks[n : n + count] - self.blanks[:count] < n)
         else:
             inner = np.flatnonzero(self.blanks[n - 1 : n - 1 + count] == self.blanks[1 : 1 + count])
         starts = self.begins[inner]
