@@ -37,6 +37,15 @@ def steady(pattern: str) -> str:
     return pattern
 
 
+def by_line(pattern: str) -> str:
+    r"""Let a match begin on its own line, not on blank lines before it.
+
+    ``^\s*`` would scan a run of blank lines again from each of them.  Only for patterns in which what
+    follows cannot start with whitespace.
+    """
+    return pattern.replace(r"^\s*", r"^[^\S\n]*+")
+
+
 def _alternatives(pattern: str) -> list[str]:
     """The parts of a pattern between the bars outside of brackets."""
     parts, depth = [""], 0

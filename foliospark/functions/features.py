@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark import fixed
-from foliospark.functions.base import col, count_matches, flags, let, literal_first
+from foliospark.functions.base import by_line, col, count_matches, flags, let, literal_first
 
 
 def clean_tokens(text: Column | str) -> Column:
@@ -121,7 +121,7 @@ def structural_counts(text: Column | str, guarded: bool = True) -> list[Column]:
     folded = F.lower(folded)
     out = []
     for name, pattern in fixed.STRUCTURAL_FEATURES.items():
-        count = count_matches(raw, flags(literal_first(pattern), "im"))
+        count = count_matches(raw, flags(literal_first(by_line(pattern)), "im"))
         if guarded and name in _NEEDS:
             present = F.lit(False)
             for piece in _NEEDS[name]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark import fixed
-from foliospark.functions.base import all_groups, col, flags, let, strip_space
+from foliospark.functions.base import all_groups, by_line, col, flags, let, strip_space
 
 
 def _first_spellings(values: Column) -> Column:
@@ -29,9 +29,12 @@ def _first_spellings(values: Column) -> Column:
 
 def questions(text: Column | str) -> Column:
     """Lines that end in a question mark, then numbered prompts."""
+    # The blank before a lone question mark belongs to the question, so the blanks must be given back;
+    # asking for a question mark on the line first keeps that from being tried in vain.
+    asked = fixed.QUESTION_LINE.replace(r"^\s*", r"^(?=[^\n]*\?)[^\S\n]*").replace(r"\s*$", r"[^\S\n]*+$")
     found = F.concat(
-        all_groups(col(text), flags(fixed.QUESTION_LINE, "m"), 1),
-        all_groups(col(text), flags(fixed.NUMBERED_LINE, "m"), 1),
+        all_groups(col(text), flags(asked, "m"), 1),
+        all_groups(col(text), flags(by_line(fixed.NUMBERED_LINE), "m"), 1),
     )
     return _first_spellings(F.filter(F.transform(found, strip_space), lambda q: q != ""))
 
@@ -46,7 +49,7 @@ def _pairs(text: Column | str, pattern: str, left: str, right: str) -> Column:
 
 def checkboxes(text: Column | str) -> Column:
     """Tick boxes with their labels."""
-    found = _pairs(text, flags(fixed.CHECKBOX_LINE, "im"), "box", "label")
+    found = _pairs(text, flags(by_line(fixed.CHECKBOX_LINE), "im"), "box", "label")
     return F.transform(
         found,
         lambda item: F.struct(
@@ -58,7 +61,7 @@ def checkboxes(text: Column | str) -> Column:
 
 def key_values(text: Column | str) -> Column:
     """``key : value`` or ``key - value`` lines."""
-    found = _pairs(text, flags(fixed.KEY_VALUE_LINE, "m"), "question", "answer")
+    found = _pairs(text, flags(by_line(fixed.KEY_VALUE_LINE), "m"), "question", "answer")
     cleaned = F.transform(
         found,
         lambda item: F.struct(

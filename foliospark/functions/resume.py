@@ -56,7 +56,10 @@ def sections(text: Column | str) -> Column:
     Splitting at the headings and listing them go through the same matches, so the n-th heading
     belongs to piece n+1: no exploding and no shuffle.
     """
-    heading = rf"^\s*({'|'.join(fixed.RESUME_HEADINGS)})\s*[:\-]?\s*$"
+    # A mark may stand lines below its heading; else the heading ends with its line.  Blank lines around
+    # it are stripped from the bodies.
+    line_end = r"[^\S\n]*+$"
+    heading = rf"^[^\S\n]*+({'|'.join(fixed.RESUME_HEADINGS)})(?:\s*+[:\-]{line_end}|{line_end})"
     pattern = flags(heading, "im")
     titles = F.transform(all_groups(col(text), pattern, 1), lambda t: F.upper(strip_space(t)))
     pieces = F.split(col(text), pattern)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def texts(count=400):
     for _ in range(count):
         words = random.choices(PIECES, k=random.randint(1, 60))
         out.append("".join(w + random.choice(SPACES) for w in words))
+    lines = ["  ?", "why ?", "Q\n1) a", "3. b", "[x]", "[ ] c", "key:", "k e y - v", ":", "-", "SKILLS", "Summary :", "body", ""]
+    blanks = ["\n", "\n\n", "\n \n", "\n\n\n\t\n", "\r\n\r\n", " \n", "\n  "]
+    for _ in range(count):
+        found = random.choices(lines, k=random.randint(1, 25))
+        out.append("".join(random.choice(blanks[:1] * 3 + blanks) + x for x in found) + random.choice(blanks))
     return out
 
 
@@ -215,3 +221,18 @@ def test_resume(frame):
         return None
 
     check(frame, resume.candidate_name("text"), candidate)
+
+
+@pytest.mark.parametrize(
+    "expression",
+    [features.structural_features, forms.questions, forms.checkboxes, forms.key_values, resume.sections],
+    ids=["structural", "questions", "checkboxes", "key_values", "sections"],
+)
+@pytest.mark.parametrize("end", ["", "end", "key:", "SKILLS\n"])
+def test_many_blank_lines(spark, expression, end):
+    """Time in proportion to the text: 100,000 blank lines take well under two seconds."""
+    frame = spark.createDataFrame([("Summary\nstart\n" + "\n" * 50_000 + " \n" * 50_000 + end,)], "text string")
+    frame.limit(0).select(expression("text").alias("v")).collect()
+    start = time.perf_counter()
+    frame.select(expression("text").alias("v")).collect()
+    assert time.perf_counter() - start < 2
