@@ -16,6 +16,7 @@ from foliospark import fixed
 from foliospark.functions.results import rank_scores, top_class
 from foliospark.operators.features import STRUCTURAL_NAMES, FeatureModel
 from foliospark.operators.linear import argmax, linear_scores
+from foliospark.sources.cache import is_missing
 
 
 @dataclass
@@ -149,10 +150,11 @@ def fit_calibration(
         ).fit(rows)
         return float(fitted.coefficients[0]), float(fitted.intercept)
 
-    with ThreadPool(parallelism) as pool:
-        out = pool.map(fit, range(classes))
-    margins.unpersist()
-    return out
+    try:
+        with ThreadPool(parallelism) as pool:
+            return pool.map(fit, range(classes))
+    finally:
+        margins.unpersist()
 
 
 def class_probabilities(margins: Column, sigmoids: Sequence[tuple[float, float]]) -> Column:
@@ -224,19 +226,21 @@ class DocumentModel:
         )
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> DocumentModel:
-        """Read the tables back; a model without the ``scaler`` table (the older form) is accepted, its
-        structural block then stays unscaled."""
+    def load(cls, spark: SparkSession, path: str, unscaled: bool = False) -> DocumentModel:
+        """Read the tables back.  A missing table is an error; ``unscaled`` takes a model that was saved
+        without a scaler on purpose, its structural block stays as it is."""
         try:
             rows = spark.read.parquet(f"{path}/classes").orderBy("position").collect()
             terms = spark.read.parquet(f"{path}/vocabulary").orderBy("term_index").collect()
         except AnalysisException as missing:
+            if not is_missing(missing):
+                raise
             raise FileNotFoundError(f"no trained model at {path}; train one first") from missing
-        try:
+        if unscaled:
+            max_abs = [1.0] * len(STRUCTURAL_NAMES)
+        else:
             scale = spark.read.parquet(f"{path}/scaler").orderBy("position").collect()
             max_abs = [r["max_abs"] for r in scale]
-        except AnalysisException:
-            max_abs = [1.0] * len(STRUCTURAL_NAMES)
         features = FeatureModel([r["term"] for r in terms], [r["idf"] for r in terms], max_abs)
         return cls(
             [r["label"] for r in rows],

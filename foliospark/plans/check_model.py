@@ -319,18 +319,35 @@ def stream_classify(t: Tables) -> DataFrame:
 def stream_dedup(t: Tables) -> DataFrame:
     out, marks = (scratch_path(t.spark, n) for n in ("distinct", "marks"))
     events = stream.read_documents(t.spark, t.folder, t.events.schema, "events.parquet")
-    timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    seen = stream.drop_seen(timed, "user_id", "ts", "3650 days")
-    stream.write_stream(seen, out, marks).awaitTermination()
+    stream.write_unseen(events.select("user_id"), out, marks, "user_id").awaitTermination()
     return t.spark.read.parquet(out).select("user_id")
 
 
-@register("stream_log", f"select count(*) as logs from ({CORPUS}) c")
+# The parts of a log, its name with zeros for the moment.
+_LOGS = f"""
+select '00000000_000000_' || cast(c.doc_id as varchar) || '.txt' as log_name,
+    cast(c.doc_id as varchar) as file, 'native_pdf' as engine,
+    cast({sql.words('c.text')} as varchar) as words, upper(c.label) as label, i.true_number as invoice_number, c.text
+from ({CORPUS}) c left join ({INVOICES}) i on i.doc_id = c.doc_id
+"""
+
+
+@register("stream_log", _LOGS)
 def stream_log(t: Tables) -> DataFrame:
     _, model, _ = _trained(t.spark, t.folder)
     arriving, out, marks = (scratch_path(t.spark, n) for n in ("arriving", "logs", "marks"))
     corpus(t).select(F.col("doc_id").cast("string").alias("file"), "text").write.parquet(arriving)
     docs = stream.read_documents(t.spark, arriving, "file string, text string")
     stream.log_stream(classify(docs, model), out, marks).awaitTermination()
-    lines = t.spark.read.text(out)
-    return lines.where("value = '=== OCR DEBUG ==='").agg(F.count(F.lit(1)).alias("logs"))
+    logs = t.spark.read.parquet(out)
+    named = {"file": "File", "engine": "Engine", "words": "Words", "label": "Label", "invoice_number": "  invoice_number"}
+    parts = {
+        name: F.nullif(F.regexp_extract("log", rf"(?m)^{title} *: (.*)$", 1), F.lit("")) for name, title in named.items()
+    }
+    head, end = F.lit("=== OCR DEBUG ==="), F.lit("\n=================\n\n")
+    body = F.when(F.startswith(F.col("log"), head), F.expr("substring(log, position('\n=================\n\n', log) + 20)"))
+    return logs.select(
+        F.regexp_replace("log_name", r"\d{8}_\d{6}", "00000000_000000").alias("log_name"),
+        *[value.alias(name) for name, value in parts.items()],
+        body.alias("text"),
+    )

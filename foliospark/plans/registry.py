@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans.rendered import Tables, for_duckdb
+from foliospark.plans.rendered import Reader, Tables, for_duckdb
 
 Job = Callable[[Tables], DataFrame]
 _JOBS: dict[str, Job] = {}
@@ -36,10 +36,11 @@ def _load() -> None:
     )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(read: Reader | None = None) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """``read`` opens a table by name and path in place of the parquet reader."""
     _load()
     return {
-        name: (lambda spark, folder, job=job: job(Tables(spark, folder)))
+        name: (lambda spark, folder, job=job: job(Tables(spark, folder, read)))
         for name, job in _JOBS.items()
     }
 

@@ -8,16 +8,16 @@ from the text.  ``{name}`` stands for a table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.sources.tables import read_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-# Tables whose rows take much work each.
-TEXT_TABLES = ["documents", "pages", "conversations", "embeddings"]
+Reader = Callable[[str, str], DataFrame]
 
 
 def _padded(expression: str, width: int) -> str:
@@ -270,14 +270,14 @@ from {documents}
 class Tables:
     """The parquet tables of one folder, and derived inputs."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, read: Reader | None = None):
         self.spark, self.folder = spark, folder
+        self.read = read or (lambda name, path: spark.read.parquet(path))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        path = f"{self.folder}/{name}.parquet"
-        return read_table(self.spark, path) if name in TEXT_TABLES else self.spark.read.parquet(path)
+        return self.read(name, f"{self.folder}/{name}.parquet")
 
     def derive(self, statement: str) -> DataFrame:
         used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in statement}

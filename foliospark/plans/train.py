@@ -33,6 +33,9 @@ from foliospark.operators.splitting import (
 )
 from foliospark.session import materialise
 
+# A model has one weight vector per class; more classes than this are refused, never left out.
+MAX_CLASSES = 10_000
+
 REPORT_SCHEMA = (
     "trained_at string, total_documents bigint, documents_per_class map<string,bigint>, "
     "grid_search boolean, best_C double, cv_accuracy double, train_samples bigint, "
@@ -67,6 +70,7 @@ def train(
     min_df: int = fixed.MIN_DF,
     max_features: int = fixed.MAX_FEATURES,
     parallelism: int = 4,
+    max_classes: int = MAX_CLASSES,
     doc: str = "doc_id",
     text: str = "text",
     label: str = "label",
@@ -78,7 +82,10 @@ def train(
     """
     spark = docs.sparkSession
     docs = drop_blank(docs, text).where(F.col(label).isNotNull())
-    sizes = {r[label]: r["documents"] for r in class_counts(docs, label).limit(10_000).collect()}
+    found = class_counts(docs, label).limit(max_classes + 1).collect()
+    if len(found) > max_classes:
+        raise ValueError(f"more than {max_classes} classes; raise max_classes if they are meant")
+    sizes = {r[label]: r["documents"] for r in found}
     counts = spark.createDataFrame(list(sizes.items()), "label string, documents bigint")
     guards = guards_from_counts(counts).first()
     if not guards["can_train"]:

@@ -10,6 +10,7 @@ from foliospark import fixed
 from foliospark.functions.base import col
 from foliospark.functions.text import suffix
 from foliospark.operators.small import broadcast_if_small
+from foliospark.sources.cache import is_missing
 
 
 def filter_supported(
@@ -62,7 +63,9 @@ def scan_corpus(
     for folder in mapping:
         try:
             part = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{folder}")
-        except AnalysisException:  # no such folder
+        except AnalysisException as error:
+            if not is_missing(error):
+                raise
             continue
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -1,8 +1,10 @@
 """Training, scoring, persistence and streams on a small corpus with clear classes."""
 
+import datetime
 import math
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from foliospark.operators import model as md
@@ -67,6 +69,12 @@ def test_saved_model_predicts_the_same(spark, trained, docs, tmp_path):
     )
     with pytest.raises(FileNotFoundError):
         md.DocumentModel.load(spark, str(tmp_path / "missing"))
+    parts = {name: spark.read.parquet(str(tmp_path / "model" / name)) for name in ("vocabulary", "classes")}
+    for name, rows in parts.items():
+        rows.write.parquet(str(tmp_path / "old" / name))
+    with pytest.raises(AnalysisException):
+        md.DocumentModel.load(spark, str(tmp_path / "old"))
+    assert set(md.DocumentModel.load(spark, str(tmp_path / "old"), unscaled=True).features.max_abs) == {1.0}
 
 
 def test_guards(spark):
@@ -75,6 +83,9 @@ def test_guards(spark):
         train(spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "b", " ")], schema))
     with pytest.raises(ValueError):
         train(spark.createDataFrame([(i, "a", "x") for i in range(5)], schema))
+    many = spark.range(10_001).select("id", F.col("id").cast("string").alias("label"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError, match="more than 10000 classes"):
+        train(many.withColumnRenamed("id", "doc_id"))
 
 
 def test_single_row_class_is_fitted_without_a_split(spark, docs):
@@ -138,9 +149,7 @@ def test_unreadable_documents_become_error_rows(spark, trained, tmp_path):
     frame.repartition(3).write.parquet(str(tmp_path / "in"))
     docs = stream.read_documents(spark, str(tmp_path / "in"), "file string, text string")
     out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
-    query = stream.write_stream(stream.classify_stream(docs, model), out, marks)
-    query.awaitTermination()
-    assert sum(n for _, n, _ in stream.batch_timings(query)) == 3
+    stream.write_stream(stream.classify_stream(docs, model), out, marks).awaitTermination()
     found = {r["file"]: r for r in spark.read.parquet(out).collect()}
     assert found["a"]["label"] == "INVOICE" and found["a"]["error"] is None
     assert found["b"]["label"] is None and found["b"]["error"] and found["c"]["error"]
@@ -150,15 +159,22 @@ def test_unreadable_documents_become_error_rows(spark, trained, tmp_path):
 
 
 def test_keys_seen_before_are_dropped(spark, tmp_path):
-    stamp = F.timestamp_seconds(F.col("id") + 1_700_000_000)
-    path = F.concat(F.lit("f"), (F.col("id") % 5).cast("string"))
-    rows = spark.range(50).select(path.alias("path"), stamp.alias("modificationTime"))
-    rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    docs = stream.read_documents(spark, str(tmp_path / "in"), rows.schema, files_per_trigger=1)
-    query = stream.write_stream(stream.drop_seen(docs), str(tmp_path / "out"), str(tmp_path / "marks"))
-    query.awaitTermination()
-    found = sorted(r["path"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert found == [f"f{i}" for i in range(5)]
+    """Whatever the time of a row and of the key's last appearance, and by whichever source and run."""
+    table, timings = str(tmp_path / "out"), str(tmp_path / "timings")
+    schema = "path string, day date"
+
+    def arrive(source, rows):
+        frame = spark.createDataFrame([(p, datetime.date.fromisoformat(d)) for p, d in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / source))
+        docs = stream.read_documents(spark, str(tmp_path / source), schema, files_per_trigger=1)
+        stream.write_unseen(docs, table, str(tmp_path / f"marks-{source}"), timings=timings).awaitTermination()
+        return sorted((r["path"] or "", str(r["day"])) for r in spark.read.parquet(table).collect())
+
+    assert arrive("one", [("a", "2024-05-01"), ("a", "2024-05-01"), ("b", "2024-05-02")]) == [("a", "2024-05-01"), ("b", "2024-05-02")]
+    assert len(arrive("one", [("old", "2001-01-01"), ("a", "2025-01-01"), (None, "2024-01-01")])) == 4
+    assert len(arrive("two", [("b", "2030-01-01"), ("c", "1999-01-01"), (None, "2024-01-01")])) == 5
+    found = stream.batch_timings(spark, timings).collect()
+    assert sorted(r["input_rows"] for r in found) == [3, 3] and all(r["elapsed_ms"] > 0 for r in found)
 
 
 def test_page_measurements(spark):

@@ -3,6 +3,8 @@
 import json
 import pathlib
 
+import pytest
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
 
 from foliospark.functions import results as rs
@@ -80,8 +82,9 @@ def test_written_results(spark, tmp_path):
 def test_written_logs(spark, tmp_path):
     out = str(tmp_path / "logs")
     sinks.write_debug_log(packed(spark), out)
-    text = "".join(f.read_text() for f in pathlib.Path(out).rglob("*.txt"))
-    assert text.count("=== OCR DEBUG ===") == 2 and "Invoice fields" not in text
+    logs = spark.read.parquet(out).collect()
+    assert all(r["log"].startswith("=== OCR DEBUG ===") and "Invoice fields" not in r["log"] for r in logs)
+    assert sorted(r["log_name"].split("_", 2)[2] for r in logs) == ["a_b_c.pdf.txt", "d.pdf.txt"]
     assert next(pathlib.Path(out).iterdir()).name.startswith(("day=", "_", "."))
 
 
@@ -97,3 +100,28 @@ def test_card_counts_the_rest(spark):
     long = packed(spark).withColumn("raw_text", F.repeat(F.lit("x"), 3234))
     card = rs.result_card(long).first()["card"]
     assert "… [1,234 more characters]" in card and "█" * 12 in card
+
+
+def test_failed_extractions_go_to_their_own_table(spark, tmp_path):
+    place = str(tmp_path / "cache")
+    files = spark.createDataFrame([("a", b"A"), ("b", b"\xff"), ("c", None), ("a", b"A")], "path string, content binary")
+    for _ in range(2):
+        cache.extend_cache(files, place, cache.guarded(lambda content: content.decode()))
+        assert [tuple(r) for r in cache.read_cache(spark, place).collect()] == [("a", "A")]
+    failed = cache.read_failures(spark, place + "-failed").collect()
+    assert {(r["path"], r["error"].split(":")[0]) for r in failed} == {("b", "UnicodeDecodeError"), ("c", "AttributeError")}
+    assert cache.read_failures(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_path_cached_twice_counts_once(spark):
+    known = spark.createDataFrame([("a", "A"), ("a", "A"), ("b", "B")], cache.CACHE_SCHEMA)
+    files = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("c", "x")], "path string, label string")
+    done = cache.incremental_text(files, known, lambda new: new.withColumn("text", F.upper("path")))
+    assert sorted(map(tuple, done.collect())) == [("a", "A"), ("b", "B"), ("c", "C")]
+    assert cache.cache_coverage(files.distinct(), known).first()["cached"] == 2
+
+
+def test_only_a_missing_path_is_an_empty_cache(spark, tmp_path):
+    assert cache.read_cache(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(IllegalArgumentException):
+        cache.read_cache(spark, "nosuchscheme:\\bad")
