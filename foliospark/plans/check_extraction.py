@@ -16,7 +16,16 @@ from foliospark.functions.dispatch import fields_by_class
 from foliospark.operators.words import total_spatial as largest_low_amount
 from foliospark.plans import oracle_parts as sql
 from foliospark.plans.registry import register
-from foliospark.plans.rendered import CORPUS, EMAILS, FORMS, INVOICES, RESUMES, Tables
+from foliospark.plans.rendered import (
+    CORPUS,
+    EMAILS,
+    FORMS,
+    INVOICES,
+    RESUMES,
+    SEEDED_PAGES,
+    SEEDED_PROSE,
+    Tables,
+)
 
 # ------------------------------------------------------------------------------------- invoices
 
@@ -171,13 +180,13 @@ def name_from_snippet(t: Tables) -> DataFrame:
     select doc_id, coalesce(array_to_string(list_transform(
         regexp_extract_all(text, {sql.quoted('(?i)' + fixed.DATE)}),
         lambda d: {sql.normalise('d')}), ' | '), '') as dates
-    from {{documents}}
+    from ({SEEDED_PROSE}) s
     """,
 )
 def dates_in_prose(t: Tables) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit("(?iUd)" + fixed.DATE), F.lit(0))
     dates = F.array_join(F.transform(found, normalise_space), " | ")
-    return t.documents.select("doc_id", dates.alias("dates"))
+    return t.derive(SEEDED_PROSE).select("doc_id", dates.alias("dates"))
 
 
 def _re2_total() -> str:
@@ -216,8 +225,8 @@ def _re2_number() -> str:
     return f"coalesce({', '.join(tries)})"
 
 
-_ASCII_PROSE = r"select doc_id, regexp_replace(text, '[^\x00-\x7f]', '_', 'g') as text from {documents}"
-_ASCII_PAGES = r"select page_id, regexp_replace(html, '[^\x00-\x7f]', '_', 'g') as text from {pages}"
+_ASCII_PROSE = rf"select doc_id, regexp_replace(text, '[^\x00-\x7f]', '_', 'g') as text from ({SEEDED_PROSE}) s"
+_ASCII_PAGES = rf"select page_id, regexp_replace(html, '[^\x00-\x7f]', '_', 'g') as text from ({SEEDED_PAGES}) s"
 
 
 def _ascii(column: str) -> Column:
@@ -229,7 +238,7 @@ def _ascii(column: str) -> Column:
     f"select doc_id, {_re2_number()} as invoice_number from ({_ASCII_PROSE}) d",
 )
 def number_in_prose(t: Tables) -> DataFrame:
-    plain = t.documents.select("doc_id", _ascii("text").alias("text"))
+    plain = t.derive(SEEDED_PROSE).select("doc_id", _ascii("text").alias("text"))
     return plain.select("doc_id", invoice.invoice_number("text").alias("invoice_number"))
 
 
@@ -266,7 +275,7 @@ _NO_TILDE = f"select doc_id, replace(text, '~', '_') as text from ({_ASCII_PROSE
     """,
 )
 def parties_in_prose(t: Tables) -> DataFrame:
-    plain = t.documents.select("doc_id", F.replace(_ascii("text"), F.lit("~"), F.lit("_")).alias("text"))
+    plain = t.derive(SEEDED_PROSE).select("doc_id", F.replace(_ascii("text"), F.lit("~"), F.lit("_")).alias("text"))
     return plain.select(
         "doc_id",
         invoice.recipient("text").alias("recipient"),
@@ -384,7 +393,7 @@ def _re2_all(pattern: str, group: int) -> str:
     """,
 )
 def questions_in_prose(t: Tables) -> DataFrame:
-    plain = t.documents.select("doc_id", _ascii("text").alias("text"))
+    plain = t.derive(SEEDED_PROSE).select("doc_id", _ascii("text").alias("text"))
     return plain.select("doc_id", _joined(forms.questions("text")).alias("questions"))
 
 
@@ -401,7 +410,7 @@ def key_values_in_prose(t: Tables) -> DataFrame:
     pairs = F.transform(
         forms.key_values("text"), lambda p: F.concat(p["question"], F.lit("="), p["answer"])
     )
-    plain = t.documents.select("doc_id", _ascii("text").alias("text"))
+    plain = t.derive(SEEDED_PROSE).select("doc_id", _ascii("text").alias("text"))
     return plain.select("doc_id", _joined(pairs).alias("answers"))
 
 
@@ -448,7 +457,7 @@ def resume_sections(t: Tables) -> DataFrame:
     """,
 )
 def links_in_pages(t: Tables) -> DataFrame:
-    plain = t.pages.select("page_id", _ascii("html").alias("text"))
+    plain = t.derive(SEEDED_PAGES).select("page_id", _ascii("html").alias("text"))
     return plain.select("page_id", F.array_join(resume.links("text"), " ").alias("links"))
 
 

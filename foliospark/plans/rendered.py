@@ -267,6 +267,20 @@ from {documents}
 """
 
 
+# The documents' prose with lines that a pattern has to find: questions and a numbered prompt, a
+# recipient, dates; and the pages with their own address as a link.
+SEEDED_PROSE = """
+select doc_id, case doc_id % 3
+    when 0 then replace(text, '.' || chr(10), '?' || chr(10)) || chr(10) || '2) Which of ' || source || chr(10)
+    when 1 then 'Attention: Client ' || source || ' Ltd' || chr(10) || text
+    else text || chr(10) || 'from 0' || cast(doc_id % 9 + 1 as string) || '/12/2024 to 2024-01-1'
+        || cast(doc_id % 10 as string)
+  end as text
+from {documents}
+"""
+SEEDED_PAGES = "select page_id, url || ' ' || html || ' (' || url || ')' as html from {pages}"
+
+
 class Tables:
     """The parquet tables of one folder, and derived inputs."""
 
