@@ -22,7 +22,8 @@ from foliospark.llm.words import WORD_BASE, Rolling, Words, pieces
 
 WIDTH = 35
 ANCHOR = 10
-SCHEMA = "hash_a long, hash_b long, doc_key long, text_key long, word int, n int, decided boolean"
+TAG_BITS = 16
+SCHEMA = "hash long, tag int, doc_key long, text_key long, begin int, end int, n int, decided boolean"
 
 
 class Windows:
@@ -58,31 +59,45 @@ def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
     return place
 
 
-def counted(hash_a: np.ndarray, hash_b: np.ndarray, keys: list[np.ndarray], word: np.ndarray) -> pa.RecordBatch:
-    """Rows of one piece, repeats within the piece told apart: these are decided, and one row without a
-    document says that the hash has been seen twice."""
-    order = np.lexsort((hash_b, hash_a))
-    a, b = hash_a[order], hash_b[order]
+def counted(
+    hashes: np.ndarray, tags: np.ndarray, keys: list[np.ndarray], of: np.ndarray, word: np.ndarray, width: int
+) -> pa.RecordBatch:
+    """Rows of the windows of one piece, in text order.
+
+    What repeats within the piece is decided: neighbouring decided windows become one interval without
+    a hash, and one row without a document says that the hash has been seen twice.
+    """
+    order = np.lexsort((tags, hashes))
+    a, b = hashes[order], tags[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     group = np.cumsum(new) - 1
-    decided = np.bincount(group, minlength=1)[group] > 1
-    extra = order[new & decided]
-    rows = np.concatenate([order, extra])
-    absent = np.arange(len(rows)) >= len(order)
-    decided = np.append(decided, np.zeros(len(extra), bool))
-    n = np.where(absent, 2, np.where(decided, 0, 1)).astype(np.int32)
+    repeated = np.bincount(group, minlength=1)[group] > 1
+    twice = order[new & repeated]
+    decided = np.zeros(len(a), bool)
+    decided[order] = repeated
+    alone = np.flatnonzero(~decided)
+    sure = np.flatnonzero(decided)
+    apart = np.ones(len(sure), bool)
+    apart[1:] = (of[sure[1:]] != of[sure[:-1]]) | (word[sure[1:]] > word[sure[:-1]] + width)
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(sure))[: len(first)] - 1
+    rows = np.concatenate([alone, sure[first], twice])
+    end = word[np.concatenate([alone, sure[last], twice])] + width
+    kind = np.repeat([1, 0, 2], [len(alone), len(first), len(twice)]).astype(np.int32)
+    hashed = kind > 0
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(hash_a[rows].view(np.int64)),
-            pa.array(hash_b[rows].view(np.int64)),
-            pa.array(keys[0][rows], mask=absent),
-            pa.array(keys[1][rows]),
-            pa.array(word[rows]),
-            pa.array(n),
-            pa.array(decided),
+            pa.array(np.where(hashed, hashes[rows].view(np.int64), 0)),
+            pa.array(np.where(hashed, tags[rows], 0).astype(np.int32)),
+            pa.array(keys[0][of[rows]], mask=kind == 2),
+            pa.array(np.where(kind == 2, 0, keys[1][of[rows]])),
+            pa.array(np.where(kind == 2, 0, word[rows]).astype(np.int32)),
+            pa.array(np.where(kind == 2, 0, end).astype(np.int32)),
+            pa.array(kind),
+            pa.array(kind == 0),
         ],
-        ["hash_a", "hash_b", "doc_key", "text_key", "word", "n", "decided"],
+        ["hash", "tag", "doc_key", "text_key", "begin", "end", "n", "decided"],
     )
 
 
@@ -97,18 +112,21 @@ def anchor_rows(width: int):
                 anchors = np.unique(found.anchors)
                 of, word = found.place(anchors)
                 hashes = found.runs[anchors]
-                yield counted(hashes, np.zeros_like(hashes), [k[low:high][of] for k in keys], word)
+                yield counted(hashes, np.zeros(len(hashes), np.int32), [k[low:high] for k in keys], of, word, 0)
 
     return run
 
 
-def window_rows(width: int):
-    """``doc_key, text_key, text, anchors`` (positions) to a row per window on one of the anchors."""
+def window_rows(width: int, text_col: str):
+    """``doc_key, text_key, row, anchors`` (positions) to a row per window on one of the anchors.
+
+    ``tag`` has some bits of the anchor's hash: equal windows have equal anchors, so it makes the hash longer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in (0, 1)]
-            for low, high, data, offsets in pieces(batch.column(2)):
+            for low, high, data, offsets in pieces(batch.column(2).field(text_col)):
                 found = Windows(data, offsets, width)
                 lists = batch.column(3).slice(low, high - low)
                 at = lists.flatten().to_numpy() + np.repeat(found.words.first[:-1], np.diff(lists.offsets.to_numpy()))
@@ -116,41 +134,40 @@ def window_rows(width: int):
                 marked[at] = True
                 chosen = np.flatnonzero(marked[found.anchors])
                 of, word = found.place(found.starts[chosen])
-                yield counted(
-                    found.runs[found.anchors[chosen]], found.hashes[chosen], [k[low:high][of] for k in keys], word
-                )
+                tags = (found.runs[found.anchors[chosen]] >> np.uint64(64 - TAG_BITS)).astype(np.int32)
+                yield counted(found.hashes[chosen], tags, [k[low:high] for k in keys], of, word, width)
 
     return run
 
 
-def merged(width: int):
-    """Window starts sorted by document and position to maximal intervals ``begin, end`` of words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
-
-        def out(columns):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c).cast(kind) for c, kind in zip(columns, kinds)], [*KEYS, "begin", "end"]
-            )
-
-        for batch in batches:
-            doc, text, begin = (batch.column(k).cast(pa.int64()).to_numpy() for k in range(3))
-            rows = [np.concatenate(pair) for pair in zip(held, (doc, text, begin, begin + width))]
-            doc, text, begin, end = rows
-            if not len(doc):
-                continue
-            new = np.ones(len(doc), bool)  # ends rise with begins within a document
-            new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(doc)) - 1
-            found = [doc[first], text[first], begin[first], end[last]]
-            held = [c[-1:] for c in found]
-            yield out([c[:-1] for c in found])
-        yield out(held)
-
-    return run
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals sorted by document and begin to maximal intervals ``begin, end`` of words."""
+    held = [np.empty(0, np.int64)] * 4
+
+    def out(columns):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c).cast(kind) for c, kind in zip(columns, kinds)], [*KEYS, "begin", "end"]
+        )
+
+    for batch in batches:
+        rows = [batch.column(k).cast(pa.int64()).to_numpy() for k in range(4)]
+        doc, text, begin, end = (np.concatenate(pair) for pair in zip(held, rows))
+        if not len(doc):
+            continue
+        other = np.ones(len(doc), bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        # The furthest end so far within a document: ends are moved up by document, then back.
+        lift = (np.cumsum(other) - 1) * (1 << 33)
+        reach = np.maximum.accumulate(end + lift) - lift
+        new = other.copy()
+        new[1:] |= begin[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc)) - 1
+        found = [doc[first], text[first], begin[first], reach[last]]
+        held = [c[-1:] for c in found]
+        yield out([c[:-1] for c in found])
+    yield out(held)
 
 
 def repeated_intervals(
@@ -165,16 +182,17 @@ def repeated_intervals(
     text = F.col("row").getField(text_col).alias("text")
     anchors = rows.select(*KEYS, text).mapInArrow(anchor_rows(width), SCHEMA)
     hits = (
-        settled(anchors, ["hash_a", "hash_b"], 2).groupBy(*KEYS).agg(F.collect_set("word").alias("anchors"))
+        settled(anchors, ["hash", "tag"], 2).groupBy(*KEYS).agg(F.collect_set("begin").alias("anchors"))
     )
     spread = rows.repartition(*KEYS).join(hits.hint("shuffle_hash"), KEYS)
-    windows = spread.select(*KEYS, text, "anchors").mapInArrow(window_rows(width), SCHEMA)
+    # The whole row goes along so that the shuffle of the texts is the one without_repeats() uses again.
+    windows = spread.select(*KEYS, "row", "anchors").mapInArrow(window_rows(width, text_col), SCHEMA)
     return (
-        settled(windows, ["hash_a", "hash_b"], 2)
-        .select(*KEYS, "word")
+        settled(windows, ["hash", "tag"], 2)
+        .select(*KEYS, "begin", "end")
         .repartition(*KEYS)
-        .sortWithinPartitions(*KEYS, "word")
-        .mapInArrow(merged(width), "doc_key long, text_key long, begin int, end int")
+        .sortWithinPartitions(*KEYS, "begin")
+        .mapInArrow(merged, "doc_key long, text_key long, begin int, end int")
         .groupBy(*KEYS)
         .agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
     )
