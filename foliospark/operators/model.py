@@ -19,19 +19,24 @@ from foliospark.operators.linear import argmax, linear_scores
 from foliospark.sources.cache import is_missing
 
 
+# High enough for every fit to end at its tolerance; a fit that does not is told by ``converged``.
+MAX_ITER = 1000
+
+
 @dataclass
 class LinearFit:
-    """Weights and intercept of each class."""
+    """Weights and intercept of each class; ``converged``: every class was fitted to tolerance."""
 
     weights: list[list[float]]
     intercepts: list[float]
+    converged: bool = True
 
     def margins(self, entries: Column) -> Column:
         return linear_scores(entries, self.weights, self.intercepts)
 
 
 def fit_svm(
-    frame: DataFrame, c: float, max_iter: int = 50, parallelism: int = 4, classes: int | None = None
+    frame: DataFrame, c: float, max_iter: int = MAX_ITER, parallelism: int = 4, classes: int | None = None
 ) -> LinearFit:
     """One linear SVM per class on ``(features, label_index)``, the class against all others.
 
@@ -51,20 +56,21 @@ def fit_svm(
         standardization=False,
     )
 
-    def fit(k: int) -> tuple[list[float], float] | None:
+    def fit(k: int) -> tuple[list[float], float, bool] | None:
         if sizes.get(k, 0) in (0, rows):
             return None
         target = (F.col("label_index") == k).cast("double")
         fitted = svm.fit(frame.select("features", target.alias("_target")))
-        return fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+        done = fitted.summary().totalIterations < max_iter
+        return fitted.coefficients.toArray().tolist(), float(fitted.intercept), done
 
     with ThreadPool(parallelism) as pool:
         fits = pool.map(fit, range(count))
     constant = [0.0] * frame.select("features").first()["features"].size
     for k, found in enumerate(fits):
         if found is None:
-            fits[k] = (constant, 1.0 if sizes.get(k, 0) else -1.0)
-    return LinearFit([w for w, _ in fits], [b for _, b in fits])
+            fits[k] = (constant, 1.0 if sizes.get(k, 0) else -1.0, True)
+    return LinearFit([w for w, _, _ in fits], [b for _, b, _ in fits], all(done for _, _, done in fits))
 
 
 def vector_entries(features: str = "features") -> Column:
@@ -96,7 +102,7 @@ def grid_search(
     frame: DataFrame,
     folds: int,
     grid: Sequence[float] = tuple(fixed.C_GRID),
-    max_iter: int = 50,
+    max_iter: int = MAX_ITER,
     parallelism: int = 4,
 ) -> list[tuple[float, float]]:
     """``(C, accuracy averaged over the folds)`` for every C, in grid order.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,8 @@ from foliospark.operators.pages import drop_blank
 from foliospark.operators.ranking import limit_per_class
 from foliospark.plans import oracle_parts as sql
 from foliospark.plans.registry import register
-from foliospark.plans.rendered import CACHE, FILES, Tables
+from foliospark.plans.rendered import CACHE, CORPUS, FILES, Tables
+from foliospark.session import scratch_path
 from foliospark.sources import cache as cached
 from foliospark.sources import corpus
 
@@ -27,12 +26,25 @@ def labelled_files(t: Tables) -> DataFrame:
     return corpus.with_label(t.derive(FILES), FOLDERS)
 
 
-@register("corpus_scan")
+# The documents written out as text files in a folder per class, and read back by the scan.
+@register(
+    "corpus_scan",
+    f"""
+    select label, sum(strlen(text) + 1) as bytes, sum(strlen(text) + 1) as content_bytes, true as named
+    from ({CORPUS}) c group by label
+    """,
+)
 def corpus_scan(t: Tables) -> DataFrame:
-    root, folder = os.path.split(t.folder.rstrip("/"))
-    found = corpus.scan_corpus(t.spark, root, {folder: "Table"}, [".parquet"])
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return found.select(name.alias("name"), "length", "label")
+    root = scratch_path(t.spark, "corpus")
+    documents = t.derive(CORPUS)
+    for folder, label in fixed.CATEGORY_FOLDERS.items():
+        documents.where(F.col("label") == label).select("text").write.text(f"{root}/{folder}")
+    found = corpus.scan_corpus(t.spark, root, suffixes=[".txt"])
+    return found.groupBy("label").agg(
+        F.sum("length").alias("bytes"),
+        F.sum(F.octet_length("content")).alias("content_bytes"),
+        F.bool_and(F.endswith(F.col("path"), F.lit(".txt"))).alias("named"),
+    )
 
 
 @register(

@@ -13,6 +13,7 @@ from foliospark.operators.evaluation import accuracy, per_class_metrics
 from foliospark.operators.features import FeatureModel
 from foliospark.operators.linear import argmax
 from foliospark.operators.model import (
+    MAX_ITER,
     DocumentModel,
     best_c,
     fit_calibration,
@@ -39,7 +40,7 @@ MAX_CLASSES = 10_000
 REPORT_SCHEMA = (
     "trained_at string, total_documents bigint, documents_per_class map<string,bigint>, "
     "grid_search boolean, best_C double, cv_accuracy double, train_samples bigint, "
-    "test_samples bigint, accuracy double, "
+    "test_samples bigint, accuracy double, converged boolean, "
     "per_class map<string,struct<precision:double,recall:double,f1_score:double,support:bigint>>"
 )
 
@@ -66,7 +67,7 @@ def train(
     max_folds: int = fixed.MAX_FOLDS,
     leak_free: bool = False,
     seed: int = fixed.SEED,
-    max_iter: int = 50,
+    max_iter: int = MAX_ITER,
     min_df: int = fixed.MIN_DF,
     max_features: int = fixed.MAX_FEATURES,
     parallelism: int = 4,
@@ -145,6 +146,7 @@ def train(
         int(train_rows),
         int(test_rows),
         float(score),
+        final.converged,
         figures,
     )
     return (
