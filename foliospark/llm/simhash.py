@@ -21,7 +21,7 @@ WIDTH = 3
 BUDGET = 3
 SEED = 42
 BLOCK = 1 << 14
-FRONTIER = 1 << 20
+FRONTIER = 1 << 16
 STEP = 1 << 16
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -87,11 +87,11 @@ def near_pairs(left: np.ndarray, right: np.ndarray, budget: int, same: bool) ->
     With ``same`` the arrays are one array and each pair is told once.
     """
     a, b = Trie(left), Trie(right)
-    first = np.array([[0, len(left), 0, len(right), 0]], np.int64).T
+    first = np.array([[0, len(left), 0, len(right), 0]], np.int32).T
     open_fronts = [(0, first)]
     while open_fronts:
         level, front = open_fronts.pop()
-        sizes = (front[1] - front[0]) * (front[3] - front[2])
+        sizes = (front[1] - front[0]).astype(np.int64) * (front[3] - front[2])
         small = (sizes <= 8) | (level == 64)
         if small.any():
             low, high, other, end, _ = front[:, small]
