@@ -3,8 +3,8 @@
 A window is ``width`` consecutive words of one text; its Karp-Rabin hash costs the same whatever the
 width.  Windows with one content have one *anchor*: the leftmost of their word runs of ``ANCHOR`` words
 with the smallest hash.  A window can only be repeated if its anchor is, and a text has about one anchor per
-13 words.  So anchors are counted first, and only windows on repeated anchors, which are all that can
-be repeated, are counted in full.
+14 words.  So anchors are counted first, and only windows on repeated anchors, which are all that can
+be repeated, are counted in full.  Of texts that are copies as a whole one sends its windows, as seen twice.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from foliospark.llm.rows import KEYS, keyed, settled
 from foliospark.llm.words import WORD_BASE, Rolling, Words, pieces
 
 WIDTH = 35
-ANCHOR = 10
+ANCHOR = 8
+FIRST, COPY = 1, 2
 TAG_BITS = 16
 SCHEMA = "hash long, tag int, doc_key long, text_key long, begin int, end int, n int, decided boolean"
 
@@ -59,20 +60,30 @@ def leftmost_least(values: np.ndarray, span: int) -> np.ndarray:
     return place
 
 
+NAMES = ["hash", "tag", "doc_key", "text_key", "begin", "end", "n", "decided"]
+
+
 def counted(
-    hashes: np.ndarray, tags: np.ndarray, keys: list[np.ndarray], of: np.ndarray, word: np.ndarray, width: int
+    hashes: np.ndarray,
+    tags: np.ndarray,
+    keys: list[np.ndarray],
+    of: np.ndarray,
+    word: np.ndarray,
+    width: int,
+    known: np.ndarray | None = None,
 ) -> pa.RecordBatch:
     """Rows of the windows of one piece, in text order.
 
-    What repeats within the piece is decided: neighbouring decided windows become one interval without
-    a hash, and one row without a document says that the hash has been seen twice.
+    What repeats within the piece, or is ``known`` to, is decided: neighbouring decided windows become one
+    interval without a hash, and one row without a document says that the hash has been seen twice.
     """
     order = np.lexsort((tags, hashes))
     a, b = hashes[order], tags[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     group = np.cumsum(new) - 1
-    repeated = np.bincount(group, minlength=1)[group] > 1
+    times = np.bincount(group, None if known is None else 1.0 + known[order], minlength=1)
+    repeated = times[group] > 1
     twice = order[new & repeated]
     decided = np.zeros(len(a), bool)
     decided[order] = repeated
@@ -97,10 +108,17 @@ def counted(
             pa.array(kind),
             pa.array(kind == 0),
         ],
-        ["hash", "tag", "doc_key", "text_key", "begin", "end", "n", "decided"],
+        NAMES,
     )
 
 
+def whole(keys: list[np.ndarray], sizes: np.ndarray) -> pa.RecordBatch:
+    """Decided intervals that are entire texts."""
+    none = np.zeros(len(sizes), np.int32)
+    columns = [none.astype(np.int64), none, *keys, none, sizes.astype(np.int32), none, none == 0]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
+
+
 def anchor_rows(width: int):
     """``doc_key, text_key, text`` to a row per anchor."""
 
@@ -118,24 +136,31 @@ def anchor_rows(width: int):
 
 
 def window_rows(width: int, text_col: str):
-    """``doc_key, text_key, row, anchors`` (positions) to a row per window on one of the anchors.
+    """``doc_key, text_key, row, anchors, role`` (``anchors`` are positions) to a row per window on one of the anchors.
 
+    Of copies, the ``FIRST`` sends all its windows and a ``COPY`` none; both are decided as a whole.
     ``tag`` has some bits of the anchor's hash: equal windows have equal anchors, so it makes the hash longer.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(k).to_numpy() for k in (0, 1)]
+            roles = batch.column(4).to_numpy()
             for low, high, data, offsets in pieces(batch.column(2).field(text_col)):
                 found = Windows(data, offsets, width)
                 lists = batch.column(3).slice(low, high - low)
                 at = lists.flatten().to_numpy() + np.repeat(found.words.first[:-1], np.diff(lists.offsets.to_numpy()))
                 marked = np.zeros(len(found.words) + 1, bool)
                 marked[at] = True
-                chosen = np.flatnonzero(marked[found.anchors])
+                role = roles[low:high]
+                sizes = np.diff(found.words.first)
+                copies = np.flatnonzero((role == COPY) & (sizes >= width))
+                yield whole([k[low:high][copies] for k in keys], sizes[copies])
+                window_role = role[found.of[found.starts]]
+                chosen = np.flatnonzero((window_role == FIRST) | marked[found.anchors] & (window_role == 0))
                 of, word = found.place(found.starts[chosen])
                 tags = (found.runs[found.anchors[chosen]] >> np.uint64(64 - TAG_BITS)).astype(np.int32)
-                yield counted(found.hashes[chosen], tags, [k[low:high] for k in keys], of, word, width)
+                yield counted(found.hashes[chosen], tags, [k[low:high] for k in keys], of, word, width, role[of] == FIRST)
 
     return run
 
@@ -180,13 +205,17 @@ def repeated_intervals(
     """
     rows = keyed(docs.select(id_col, text_col), id_col, text_col)
     text = F.col("row").getField(text_col).alias("text")
+    same = ["text_key", "text_hash"]
+    hashed = rows.select(*KEYS, F.xxhash64(F.lit(7), text).alias("text_hash"))
+    copies = hashed.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("doc_key").alias("first")).where("n > 1")
+    role = F.when(F.col("doc_key") == F.col("first"), FIRST).otherwise(COPY)
+    roles = hashed.join(copies, same).select(*KEYS, F.lit(None).cast("int").alias("begin"), role.alias("role"))
     anchors = rows.select(*KEYS, text).mapInArrow(anchor_rows(width), SCHEMA)
-    hits = (
-        settled(anchors, ["hash", "tag"], 2).groupBy(*KEYS).agg(F.collect_set("begin").alias("anchors"))
-    )
+    found = settled(anchors, ["hash", "tag"], 2).select(*KEYS, "begin", F.lit(0).alias("role"))
+    hits = found.union(roles).groupBy(*KEYS).agg(F.collect_set("begin").alias("anchors"), F.max("role").alias("role"))
     spread = rows.repartition(*KEYS).join(hits.hint("shuffle_hash"), KEYS)
     # The whole row goes along so that the shuffle of the texts is the one without_repeats() uses again.
-    windows = spread.select(*KEYS, "row", "anchors").mapInArrow(window_rows(width, text_col), SCHEMA)
+    windows = spread.select(*KEYS, "row", "anchors", "role").mapInArrow(window_rows(width, text_col), SCHEMA)
     return (
         settled(windows, ["hash", "tag"], 2)
         .select(*KEYS, "begin", "end")
