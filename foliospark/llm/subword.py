@@ -25,18 +25,20 @@ class Settings:
 
     ``sample_rows`` and ``sample_chars`` bound the training data: the rows are the first in the order of a
     hash of the id, among labelled texts of at most so many characters.  Nothing bounds what is scored.
-    ``pairs`` adds pairs of neighbouring words.
+    ``pairs`` adds pairs of neighbouring words; with ``rare`` the mean weighs a feature by the logarithm of how
+    rare it is among the training texts, so that a few telling words outweigh what all texts have.
     """
 
     grams: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 18
     pairs: bool = False
+    rare: bool = False
     dim: int = 4
     lower: bool = True
     epochs: int = 8
     rate: float = 3000.0
     layer_rate: float = 0.003
-    sample_rows: int = 6000
+    sample_rows: int = 5000
     sample_chars: int = 20_000
     seed: int = 17
 
@@ -105,11 +107,18 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
     layer = rng.normal(0, 1, (settings.dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     docs = bags(texts, settings)
+    weights = np.ones(1 << settings.bits, np.float32)
+    if settings.rare:
+        seen = np.zeros(1 << settings.bits, np.int64)
+        for ids, _ in docs:
+            seen[ids] += 1
+        weights = np.where(seen, np.log((len(docs) + 1) / (seen + 1)), 0).astype(np.float32)
     for epoch in range(settings.epochs):
         left = 1 - epoch / settings.epochs
         rate, layer_rate = np.float32(settings.rate * left), np.float32(settings.layer_rate * left)
         for d in rng.permutation(len(docs)):
             ids, share = docs[d]
+            share = share * weights[ids]
             mean = share @ vectors[ids]
             logits = mean @ layer + bias
             slope = np.exp(logits - logits.max())
@@ -118,7 +127,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings) -> Model:
             vectors[ids] -= np.outer(rate * share, layer @ slope)
             layer -= layer_rate * np.outer(mean, slope)
             bias -= layer_rate * slope
-    return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]), settings)
+    return Model(vectors @ (layer[:, 1] - layer[:, 0]) * weights, float(bias[1] - bias[0]), settings)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, settings: Settings) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import subword
 
-SETTINGS = subword.Settings(grams=(3, 4, 5, 6))
+SETTINGS = subword.Settings(grams=(3, 4, 5, 6), bits=20, rare=True, rate=300.0)
 THRESHOLD = 0.3
 
 
