@@ -5,6 +5,7 @@ import math
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from foliospark.operators import model as md
@@ -95,6 +96,23 @@ def test_single_row_class_is_fitted_without_a_split(spark, docs):
     assert math.isnan(row["accuracy"]) and row["test_samples"] == 0 and row["best_C"] is None
 
 
+def test_features_of_the_train_part_only(docs):
+    rare = F.when(F.col("doc_id") == 0, F.concat("text", F.lit(" onlyhere onlyhere"))).otherwise(F.col("text"))
+    model, report = train(docs.withColumn("text", rare), grid=False, leak_free=True, max_folds=2, max_iter=10)
+    row = report.first()
+    assert row["accuracy"] >= 0.9 and row["test_samples"] == 24 and row["converged"] is not None
+    assert "total" in model.features.vocabulary
+
+
+def test_a_fit_tells_whether_it_converged(spark):
+    rows = [(Vectors.dense([x]), float(x > 0)) for x in (-3.0, -2.0, -1.0, 1.0, 2.0, 3.0)]
+    frame = spark.createDataFrame(rows, ["features", "label_index"])
+    assert not md.fit_svm(frame, 1.0, max_iter=1).converged
+    fit = md.fit_svm(frame, 10.0)
+    # Margins of one at the nearest points: weight 1, no offset.
+    assert fit.converged and abs(fit.weights[1][0] - 1) < 0.02 and abs(fit.intercepts[1]) < 0.02
+
+
 def test_features_do_not_depend_on_partitions(docs):
     one = FeatureModel.fit(docs.coalesce(1))
     many = FeatureModel.fit(docs.repartition(8))

@@ -8,6 +8,7 @@ from foliospark.plans import registry
 # These train models; test_model.py covers them on smaller input.
 TRAINING = {
     "fit_svm", "predict", "model_roundtrip", "classify_documents", "stream_classify", "stream_log",
+    "grid_search", "calibrate", "predict_confidence", "training_report",
 }
 NAMES = sorted(set(registry.oracle_sql()) - TRAINING)
 
