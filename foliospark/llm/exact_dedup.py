@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.rows import ascii_lower
 
+PREFIX = 64
+
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", slices: int | None = None
@@ -18,7 +20,8 @@ def exact_groups(
     of its group has one, and of rows that repeat the id as well, one stays.
 
     Sampled splitters deal the normalised texts out by range and each partition is sorted, so equal texts
-    become neighbours and whole texts are compared.  The splitters also cut between ``slices`` of the ids,
+    become neighbours and whole texts are compared.  A splitter has the first ``PREFIX`` characters of a text, so the
+    driver never holds whole texts; texts that begin alike are sorted by the rest of them.  The splitters also cut between ``slices`` of the ids,
     as many as there are shuffle partitions if not given: a text with a third of all rows is spread over a third of
     the partitions.  Each slice brings one row to the total of its text, joined by the text's digest.
     """
@@ -28,14 +31,15 @@ def exact_groups(
     slices = slices or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pick = F.max if largest else F.min
     order = F.col("id").desc_nulls_last() if largest else F.col("id").asc_nulls_last()
-    run = Window.partitionBy("norm", "slice")
+    run = Window.partitionBy("prefix", "norm", "slice")
     ranked = (
         docs.select(
             F.col(id_col).alias("id"),
             ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"),
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(slices)).alias("slice"),
         )
-        .repartitionByRange("norm", "slice")
+        .withColumn("prefix", F.substring("norm", 1, PREFIX))
+        .repartitionByRange("prefix", "slice")
         .select(
             "id",
             F.row_number().over(run.orderBy(order)).alias("place"),
