@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -206,6 +206,18 @@ def linked(prints: DataFrame, n: int, budget: int = BUDGET, block: int = BLOCK)
     return sent.groupBy("low", "high").applyInArrow(traverse, "u long, v long").distinct()
 
 
+def named(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``prints`` with ``root`` and ``component_id`` of what ``edges`` connect."""
+    member = components(edges).withColumnsRenamed({"node": "print"})
+    least = member.join(distinct, "print").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = distinct.join(member.join(least, "root"), "print", "left").select(
+        "print",
+        F.coalesce("root", "print").alias("root"),
+        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
+    )
+    return prints.join(named, "print").select("doc_id", *KEYS, "print", "root", "component_id")
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET
 ) -> DataFrame:
@@ -224,23 +236,18 @@ def near_groups(
     )
     distinct = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     edges = materialise(linked(distinct, distinct.count(), budget), "print-links")
-    member = components(edges).withColumnsRenamed({"node": "print"})
-    least = member.join(distinct, "print").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = distinct.join(member.join(least, "root"), "print", "left").select(
-        "print",
-        F.coalesce("root", "print").alias("root"),
-        F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
-    )
-    return prints.join(named, "print").select("doc_id", *KEYS, "print", "root", "component_id")
+    return named(prints, distinct, edges)
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouping: Callable[..., DataFrame] = near_groups, **how
+) -> DataFrame:
     """The rows, with their columns, of one document per component: the one with the smallest id.
 
     A row without id stays only if no row of its component has one.  Of rows that repeat the id, or have none,
     the one with the smallest hash of its text stays, and of rows that repeat the text as well, one.
     """
-    groups = near_groups(docs, id_col, text_col, **how)
+    groups = grouping(docs, id_col, text_col, **how)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *KEYS)
     chosen = groups.groupBy("root").agg(F.min(order).alias("best")).select(*[f"best.{k}" for k in KEYS])
     copies = Window.partitionBy(*KEYS).orderBy(*KEYS)
