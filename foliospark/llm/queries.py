@@ -17,6 +17,7 @@ from foliospark.llm import (
     quality,
     simhash,
     substring_dedup,
+    token_counts,
     toxicity,
     whitening,
 )
@@ -147,6 +148,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(_table(spark, folder, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(_table(spark, folder, "embeddings"))
 
@@ -162,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
+    "op12_token_counts": op12_token_counts,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
