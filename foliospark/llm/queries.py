@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import (
+    conversation_trie,
     decontamination,
     exact_dedup,
     language_id,
@@ -148,6 +149,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, folder, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted(_table(spark, folder, "documents"))
 
@@ -167,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_packing": op10_packing,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_token_counts": op12_token_counts,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
