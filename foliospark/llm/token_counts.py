@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 #: Token count above which a text is over the limit.
 LIMIT = 512
+#: Characters handed to the tokenizer at once; its encodings take about 60 bytes a character.
+BATCH_CHARS = 1 << 20
 #: Vocabulary of the count.
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -69,13 +71,26 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     @F.pandas_udf("long")
     def tokens(pieces: pd.Series) -> pd.Series:
         tokenizer = _tokenizer(shared, vocabulary)
-        flat = [piece for row in pieces for piece in row]
-        sizes = [len(row) for row in pieces]
-        counts = [len(e.ids) for e in tokenizer.encode_batch(flat, add_special_tokens=False)] if flat else []
-        out, at = [], 0
-        for size in sizes:
-            out.append(sum(counts[at : at + size]))
-            at += size
+        out = []
+        batch, owners, held = [], [], 0
+
+        def flush():
+            # the encodings of one bounded batch live only as long as their counts are taken
+            for owner, encoding in zip(owners, tokenizer.encode_batch(batch, add_special_tokens=False)):
+                out[owner] += len(encoding.ids)
+            batch.clear(), owners.clear()
+
+        for row in pieces:
+            out.append(0)
+            for piece in row:
+                batch.append(piece)
+                owners.append(len(out) - 1)
+                held += len(piece)
+                if held >= BATCH_CHARS:
+                    flush()
+                    held = 0
+        if batch:
+            flush()
         return pd.Series(out, dtype="int64")
 
     text = F.col(text_col)
@@ -93,7 +108,13 @@ _LOADED: dict = {}
 
 
 def _tokenizer(shared, key: str):
-    """One tokenizer per Python worker and vocabulary, built from the broadcast file."""
+    """One tokenizer per Python worker and vocabulary, built from the broadcast file.
+
+    Its thread pool is held to one thread: Spark already runs one task a core.
+    """
+    import os
+
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
     from tokenizers import Tokenizer
 
     if key not in _LOADED:
