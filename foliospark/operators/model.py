@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foliospark import fixed
 from foliospark.functions.results import rank_scores, top_class
 from foliospark.operators.features import STRUCTURAL_NAMES, FeatureModel
+from foliospark.operators import joint_svm
 from foliospark.operators.linear import argmax, linear_scores
 from foliospark.sources.cache import is_missing
 
@@ -40,37 +41,16 @@ def fit_svm(
 ) -> LinearFit:
     """One linear SVM per class on ``(features, label_index)``, the class against all others.
 
-    With regParam = 1 / (C n) the objective is C times the summed hinge loss plus half the squared
-    norm.  ``classes`` is needed where ``frame`` may lack some, as a training fold may: such a class gets
-    a constant negative margin.
+    Squared hinge loss, ``C`` times its sum plus half the squared norm (bias included), solved by the
+    joint Newton solver to its tolerance; ``max_iter`` bounds the Newton steps.  ``classes`` is needed
+    where ``frame`` may lack some, as a training fold may.  ``parallelism`` is kept for callers: every
+    class is solved in the same passes.
     """
-    sizes = {int(r[0]): r[1] for r in frame.groupBy("label_index").count().collect()}
-    rows = sum(sizes.values())
-    count = classes if classes is not None else max(sizes) + 1
-    svm = LinearSVC(
-        featuresCol="features",
-        labelCol="_target",
-        regParam=1.0 / (c * rows),
-        maxIter=max_iter,
-        tol=1e-4,
-        standardization=False,
-    )
-
-    def fit(k: int) -> tuple[list[float], float, bool] | None:
-        if sizes.get(k, 0) in (0, rows):
-            return None
-        target = (F.col("label_index") == k).cast("double")
-        fitted = svm.fit(frame.select("features", target.alias("_target")))
-        done = fitted.summary().totalIterations < max_iter
-        return fitted.coefficients.toArray().tolist(), float(fitted.intercept), done
-
-    with ThreadPool(parallelism) as pool:
-        fits = pool.map(fit, range(count))
-    constant = [0.0] * frame.select("features").first()["features"].size
-    for k, found in enumerate(fits):
-        if found is None:
-            fits[k] = (constant, 1.0 if sizes.get(k, 0) else -1.0, True)
-    return LinearFit([w for w, _, _ in fits], [b for _, b, _ in fits], all(done for _, _, done in fits))
+    count = classes if classes is not None else int(frame.agg(F.max("label_index")).first()[0]) + 1
+    problems = joint_svm.search_problems([c], 0, count, refit=True)
+    fit = joint_svm.solve(frame, problems, joint_svm.width_of(frame), max_newton=max_iter)
+    weights, biases = fit.of(float(c), -1)
+    return LinearFit(weights, biases, all(fit.converged))
 
 
 def vector_entries(features: str = "features") -> Column:
@@ -88,14 +68,27 @@ def held_out_margins(frame: DataFrame, fits: Sequence[LinearFit]) -> DataFrame:
 def fit_folds(
     frame: DataFrame, c: float, folds: int, max_iter: int, parallelism: int, classes: int | None = None
 ) -> list[LinearFit]:
-    """One fit per fold, on the rows of the other folds."""
+    """One fit per fold, on the rows of the other folds; all folds and classes in the same passes."""
+    return fit_grid(frame, [c], folds, max_iter, classes)[float(c)]
+
+
+def fit_grid(
+    frame: DataFrame, grid: Sequence[float], folds: int, max_iter: int = MAX_ITER, classes: int | None = None
+) -> dict[float, list[LinearFit]]:
+    """Fits of every fold for every C, solved together: ``{C: [fit of fold 0, ...]}``."""
     if classes is None:
         classes = int(frame.agg(F.max("label_index")).first()[0]) + 1
-    with ThreadPool(parallelism) as pool:
-        return pool.map(
-            lambda fold: fit_svm(frame.where(F.col("fold") != fold), c, max_iter, 1, classes),
-            range(folds),
-        )
+    problems = joint_svm.search_problems(grid, folds, classes, refit=False)
+    fit = joint_svm.solve(frame, problems, joint_svm.width_of(frame), max_newton=max_iter)
+    out = {}
+    for c in grid:
+        fits = []
+        for fold in range(folds):
+            weights, biases = fit.of(float(c), fold)
+            done = all(ok for p, ok in zip(fit.problems, fit.converged) if p.c == c and p.fold == fold)
+            fits.append(LinearFit(weights, biases, done))
+        out[float(c)] = fits
+    return out
 
 
 def grid_search(
@@ -107,16 +100,14 @@ def grid_search(
 ) -> list[tuple[float, float]]:
     """``(C, accuracy averaged over the folds)`` for every C, in grid order.
 
-    ``frame``: ``(features, label_index, fold)``.
+    ``frame``: ``(features, label_index, fold)``.  All C, folds and classes are one joint solve; the
+    accuracy of a fold is counted from its held-out rows, scored by the weights that did not see them.
     """
-    scores = []
     classes = int(frame.agg(F.max("label_index")).first()[0]) + 1
-    for c in grid:
-        fits = fit_folds(frame, c, folds, max_iter, parallelism, classes)
-        hits = (argmax(F.col("margins")) == F.col("label_index")).cast("double")
-        by_fold = held_out_margins(frame, fits).groupBy("fold").agg(F.avg(hits).alias("share"))
-        scores.append((c, float(by_fold.agg(F.avg("share")).first()[0])))
-    return scores
+    problems = joint_svm.search_problems(grid, folds, classes, refit=False)
+    fit = joint_svm.solve(frame, problems, joint_svm.width_of(frame), max_newton=max_iter)
+    scores = joint_svm.held_out_accuracy(frame, fit, [float(c) for c in grid], folds)
+    return [(float(c), scores[float(c)]) for c in grid]
 
 
 def best_c(scores: Sequence[tuple[float, float]]) -> tuple[float, float]:
