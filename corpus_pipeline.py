@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontamination, jaccard, line_dedup, packing, simhash, toxicity
+from foliospark.llm import decontamination, line_dedup, packing, simhash, toxicity
 from foliospark.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,12 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard of 5-word shingles from 0.8), the one with the smallest id."""
-    return simhash.one_of_each_group(docs, grouping=jaccard.near_groups)
+    """One document of each group of near copies, the one with the smallest id.
+
+    Groups are those of the SimHash operator with its contract's parameters: fingerprints of 3-word
+    shingles, linked at 3 or fewer differing bits; no word-similarity check is added beside the bits.
+    """
+    return simhash.one_of_each_group(docs, width=simhash.WIDTH, budget=simhash.BUDGET)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
