@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.session import materialise
+
 #: Turns per block of the first grouping.
 BLOCK = 4
 #: Turns of a conversation ``c`` are taken from ``c - c % 5``, up to ``crc32(c) % 9`` of them.
@@ -130,12 +132,18 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     gives no rows.  Repeated rows are repeated turns of their conversation.  Extra columns are ignored.
     """
     sizes, turns = rebuilt(conversations)
-    digested = turns.select(
-        "conv_id",
-        "pos",
-        "text",
-        (F.col("pos") / block).cast("long").alias("k"),
-        _digest(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))).alias("td"),
+    # the texts are read once: each later step works on digests and byte counts, written to the shared
+    # scratch folder so that every step's plan starts from a table, not from the whole plan before it
+    sizes = materialise(sizes, "trie-sizes")
+    digested = materialise(
+        turns.select(
+            "conv_id",
+            "pos",
+            (F.col("pos") / block).cast("long").alias("k"),
+            _digest(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text"))).alias("td"),
+            F.octet_length("text").cast("long").alias("n_bytes"),
+        ),
+        "trie-turns",
     )
 
     # 1. block digests of full blocks, chained per conversation
@@ -150,7 +158,7 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     paths = sizes.join(chains, "conv_id", "left").select(
         "conv_id", "n_turns", F.concat(F.array(F.lit("")), F.coalesce("chain", F.array().cast("array<string>"))).alias("chain")
     )
-    bounds = paths.select(
+    bounds = materialise(paths.select(
         "conv_id", "n_turns", F.posexplode("chain").alias("k", "p"), F.col("chain")
     ).select(
         "conv_id",
@@ -159,7 +167,7 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         (F.col("k") * block).alias("depth"),
         "p",
         F.try_element_at("chain", (F.col("k") + 2).cast("int")).alias("nxt"),
-    )
+    ), "trie-bounds")
 
     # 2. nodes at block boundaries
     continuing = F.col("n_turns") > F.col("depth")
@@ -174,9 +182,12 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         _ends(F.col("conv_id"), F.col("n_turns") == F.col("depth")).alias("ends_sha256"),
     )
     uniform = (F.col("n_cont") > 0) & (F.col("n_cont") == F.col("n_full")) & (F.col("nxt_min") == F.col("nxt_max"))
-    groups = groups.withColumn("uniform", uniform)
+    groups = materialise(groups.withColumn("uniform", uniform), "trie-groups")
     # each conversation's boundary node, and whether the block after it is one chain
-    placed = bounds.join(groups.select("depth", "p", F.col("conv_id").alias("rep"), "uniform"), ["depth", "p"])
+    placed = materialise(
+        bounds.join(groups.select("depth", "p", F.col("conv_id").alias("rep"), "uniform"), ["depth", "p"]),
+        "trie-placed",
+    )
 
     # 3. refinement inside blocks where continuing members diverge
     open_blocks = placed.where(~F.col("uniform") & (F.col("n_turns") > F.col("depth"))).select(
@@ -201,12 +212,16 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         )
         .select("conv_id", "n_turns", (F.col("pos") + 1).alias("depth"), "q")
     )
+    inner = materialise(inner, "trie-inner")
     refined_groups = inner.groupBy("depth", "q").agg(
         F.min("conv_id").alias("conv_id"),
         F.count("*").alias("n_convs"),
         _ends(F.col("conv_id"), F.col("n_turns") == F.col("depth")).alias("ends_sha256"),
     )
-    refined = inner.join(refined_groups.select("depth", "q", F.col("conv_id").alias("rep")), ["depth", "q"])
+    refined_groups = materialise(refined_groups, "trie-refined-groups")
+    refined = materialise(
+        inner.join(refined_groups.select("depth", "q", F.col("conv_id").alias("rep")), ["depth", "q"]), "trie-refined"
+    )
 
     # 4. the chains inside uniform blocks
     chained = groups.where(F.col("uniform")).select(
@@ -256,10 +271,11 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         )
 
     # children, last texts, values
+    nodes = materialise(nodes, "trie-nodes")
     children = nodes.where(F.col("parent_conv_id").isNotNull()).groupBy(
         (F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias("conv_id")
     ).agg(F.count("*").alias("n_children"))
-    last = turns.select("conv_id", (F.col("pos") + 1).alias("depth"), F.octet_length("text").cast("long").alias("n_bytes"))
+    last = digested.select("conv_id", (F.col("pos") + 1).alias("depth"), "n_bytes")
     valued = (
         nodes.join(children, ["depth", "conv_id"], "left")
         .join(last, ["conv_id", "depth"], "left")
@@ -285,6 +301,7 @@ def trie(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         F.sum("v_saved").over(mine).alias("t_saved"),
         F.sum("v_leaf").over(mine).alias("t_leaf"),
     )
+    valued = materialise(valued, "trie-valued")
     totals = valued.groupBy("conv_id").agg(F.first("t_saved").alias("t_saved"), F.first("t_leaf").alias("t_leaf"))
     member_rows = (
         placed.select("conv_id", "depth", "rep")
