@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,42 +114,78 @@ def best_c(scores: Sequence[tuple[float, float]]) -> tuple[float, float]:
     return next((c, score) for c, score in scores if score == top)
 
 
+def _softplus(z: Column) -> Column:
+    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+
+
 def fit_calibration(
-    margins: DataFrame, classes: int, parallelism: int = 4
+    margins: DataFrame, classes: int, parallelism: int = 4, tol: float = 1e-10, max_iter: int = 100
 ) -> list[tuple[float, float]]:
     """Slope and offset of each class's sigmoid, from held-out ``(label_index, margins)``.
 
-    Targets are smoothed: (n+1)/(n+2) for the n rows of the class, 1/(m+2) for the m others.  Each row
-    enters as a positive and a negative row with these weights.
+    Targets are smoothed: (n+1)/(n+2) for the n rows of the class, 1/(m+2) for the m others; the loss
+    is the cross-entropy of ``sigmoid(a m + b)`` against them.  All classes are fitted at once by Newton
+    steps: one aggregate per step gives every class's gradient and 2x2 Hessian, and a second one the loss
+    at ten step lengths of every class (halving until the loss falls).  Margins are read as they are,
+    each row once per pass; nothing is doubled or cached.  ``parallelism`` is kept for callers.
     """
-    margins = margins.select("label_index", "margins").persist()
-    sizes = {int(r[0]): r[1] for r in margins.groupBy("label_index").count().collect()}
+    margins = margins.select("label_index", "margins")
+    sizes = {int(r[0]): r[1] for r in margins.groupBy("label_index").count().collect() if r[0] is not None}
     total = sum(sizes.values())
-
-    def fit(k: int) -> tuple[float, float]:
+    targets = []
+    for k in range(classes):
         inside = sizes.get(k, 0)
-        high, low = (inside + 1) / (inside + 2), 1 / (total - inside + 2)
-        target = F.when(F.col("label_index") == k, high).otherwise(low)
-        sides = F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("y"), target.alias("w")),
-                F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")),
-            )
-        )
-        rows = margins.select(F.get("margins", F.lit(k)).alias("m"), sides.alias("s")).select(
-            "m", "s.y", "s.w"
-        )
-        rows = VectorAssembler(inputCols=["m"], outputCol="x").transform(rows)
-        fitted = LogisticRegression(
-            featuresCol="x", labelCol="y", weightCol="w", maxIter=50, standardization=False
-        ).fit(rows)
-        return float(fitted.coefficients[0]), float(fitted.intercept)
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            return pool.map(fit, range(classes))
-    finally:
-        margins.unpersist()
+        targets.append(((inside + 1) / (inside + 2), 1 / (total - inside + 2)))
+    # Platt's start: no slope, the offset of the smoothed prior
+    params = [[0.0, math.log((sizes.get(k, 0) + 1) / (total - sizes.get(k, 0) + 1))] for k in range(classes)]
+    lengths = [0.5**i for i in range(10)]
+
+    def columns(k: int):
+        m = F.get("margins", F.lit(k))
+        t = F.when(F.col("label_index") == k, targets[k][0]).otherwise(targets[k][1])
+        return m, t
+
+    def loss(m: Column, t: Column, a: float, b: float) -> Column:
+        z = m * a + b
+        return _softplus(z) - t * z
+
+    for _ in range(max_iter):
+        sums = []
+        for k, (a, b) in enumerate(params):
+            m, t = columns(k)
+            p = 1 / (1 + F.exp(-(m * a + b)))
+            v = p * (1 - p)
+            sums += [F.sum((p - t) * m), F.sum(p - t), F.sum(v * m * m), F.sum(v * m), F.sum(v), F.sum(loss(m, t, a, b))]
+        got = margins.agg(*sums).first()
+        steps, open_ = [], False
+        for k in range(classes):
+            ga, gb, haa, hab, hbb, _ = (float(got[6 * k + i] or 0.0) for i in range(6))
+            det = haa * hbb - hab * hab
+            if abs(ga) + abs(gb) <= tol * max(total, 1) or det <= 0:
+                steps.append((0.0, 0.0))
+                continue
+            open_ = True
+            steps.append(((-hbb * ga + hab * gb) / det, (hab * ga - haa * gb) / det))
+        if not open_:
+            break
+        trials = []
+        for k, ((a, b), (da, db)) in enumerate(zip(params, steps)):
+            m, t = columns(k)
+            trials += [F.sum(loss(m, t, a + h * da, b + h * db)) for h in lengths]
+        tried = margins.agg(*trials).first()
+        moved = False
+        for k in range(classes):
+            if steps[k] == (0.0, 0.0):
+                continue
+            now = float(got[6 * k + 5] or 0.0)
+            for i, h in enumerate(lengths):
+                if float(tried[10 * k + i] or 0.0) < now:
+                    params[k] = [params[k][0] + h * steps[k][0], params[k][1] + h * steps[k][1]]
+                    moved = True
+                    break
+        if not moved:
+            break
+    return [(a, b) for a, b in params]
 
 
 def class_probabilities(margins: Column, sigmoids: Sequence[tuple[float, float]]) -> Column:
