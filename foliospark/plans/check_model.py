@@ -173,9 +173,8 @@ def metrics_tiles(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------- training
 
-# The grid and folds of the default job.  Iterations are fewer than fits to tolerance take on these classes,
-# which one word tells apart; README says so.
-FOLDS, ITERATIONS = fixed.MAX_FOLDS, 12
+# The folds of the default job; every fit runs to its tolerance (the joint solver's Newton steps).
+FOLDS = fixed.MAX_FOLDS
 
 
 def corpus(t: Tables) -> DataFrame:
@@ -186,7 +185,7 @@ def corpus(t: Tables) -> DataFrame:
 def _trained(spark: SparkSession, folder: str):
     """One training run per session and folder, shared by the queries that need a model."""
     documents = materialise(corpus(Tables(spark, folder)), "corpus")
-    model, report = train(documents, grid=False, max_folds=FOLDS, max_iter=ITERATIONS)
+    model, report = train(documents, grid=True, max_folds=FOLDS)
     return documents, model, report
 
 
@@ -283,7 +282,7 @@ def grid_search(t: Tables) -> DataFrame:
 )
 def calibrate(t: Tables) -> DataFrame:
     frame = _vectors(t.spark, t.folder)
-    fits = md.fit_folds(frame, fixed.DEFAULT_C, FOLDS, ITERATIONS, 4)
+    fits = md.fit_folds(frame, fixed.DEFAULT_C, FOLDS, md.MAX_ITER, 4)
     unseen = md.held_out_margins(frame, fits)
     sigmoids = md.fit_calibration(unseen, 4)
     shares = md.class_probabilities(F.col("margins"), sigmoids)

@@ -134,6 +134,8 @@ def train(
     folds = min(max_folds, fold_count(guards["smallest_class"]))
     folded = kfold(everything, folds, seed, label, doc)
     unseen = held_out_margins(folded, fit_folds(folded, chosen, folds, max_iter, parallelism, len(classes)))
+    # the calibration reads the margins once per Newton step: score the rows once
+    unseen = materialise(unseen.select("label_index", "margins"), "held-out-margins")
     sigmoids = fit_calibration(unseen, len(classes))
 
     report = (
