@@ -82,28 +82,38 @@ def rank_one(lam: np.ndarray, q: np.ndarray, z: np.ndarray) -> tuple[np.ndarray,
     # roots t_j = dk[j] + tau_j, tau_j in (0, gap_j)
     gaps = np.append(np.diff(dk), float(w2.sum()))
     delta = dk[None, :] - dk[:, None]  # delta[j, i] = d_i - d_j
+    # safeguarded Newton on each bracket: a Newton point inside the bracket, else its middle
     lo, hi = np.zeros(k), gaps.copy()
+    x = 0.5 * (lo + hi)
+    eps = np.finfo(float).eps
     for _ in range(STEPS):
-        mid = 0.5 * (lo + hi)
-        f = 1.0 + (w2[None, :] / (delta - mid[:, None])).sum(axis=1)
+        inverse = 1.0 / (delta - x[:, None])
+        f = 1.0 + (w2[None, :] * inverse).sum(axis=1)
+        slope = (w2[None, :] * inverse * inverse).sum(axis=1)
         neg = f < 0
-        lo = np.where(neg, mid, lo)
-        hi = np.where(neg, hi, mid)
-        if np.all(hi - lo <= 2 * np.finfo(float).eps * np.maximum(np.abs(dk), hi)):
+        lo = np.where(neg, x, lo)
+        hi = np.where(neg, hi, x)
+        newton = x - f / slope
+        inside = (newton > lo) & (newton < hi)
+        step_to = np.where(inside, newton, 0.5 * (lo + hi))
+        scale_j = np.maximum(np.abs(dk), np.abs(x))
+        if np.all((np.abs(step_to - x) <= 4 * eps * scale_j) | (hi - lo <= 2 * eps * scale_j)):
+            x = step_to
             break
-    tau = 0.5 * (lo + hi)
+        x = step_to
+    tau = x
     t = dk + tau
     # differences t_j - d_i on shifted origins: (d_j - d_i) + tau_j
     diff = (dk[None, :] - dk[:, None]) + tau[None, :]  # diff[i, j] = t_j - d_i
     # Gu-Eisenstat weights: w_i^2 = prod_j (t_j - d_i) / prod_{j != i} (d_j - d_i), paired as ratios
-    what2 = np.empty(k)
-    for i in range(k):
-        num = diff[i]
-        den = np.delete(dk - dk[i], i)
-        ratio = np.empty(k - 1)
-        ratio[:i] = num[:i] / den[:i]
-        ratio[i:] = num[i : k - 1] / den[i:]
-        what2[i] = num[k - 1] * np.prod(ratio)
+    # pair numerator j with denominator j below i and j + 1 from i on: every ratio stays near one
+    if k > 1:
+        gaps_to = dk[None, :] - dk[:, None]  # gaps_to[i, j] = d_j - d_i
+        cols = np.arange(k - 1)[None, :]
+        den = np.where(cols < np.arange(k)[:, None], gaps_to[:, :-1], gaps_to[:, 1:])
+        what2 = diff[:, k - 1] * np.prod(diff[:, :-1] / den, axis=1)
+    else:
+        what2 = diff[:, 0].copy()
     what = np.sqrt(np.abs(what2)) * np.sign(wk)
     vecs = what[:, None] / (-diff)  # vecs[i, j] = what_i / (d_i - t_j)
     vecs /= np.linalg.norm(vecs, axis=0)[None, :]
