@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from foliospark.llm import queries, toxicity
 
-WITHOUT_SQL = sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL))
+# queries over other tables than documents, with their table and key
+OTHER_TABLES = {"op11_conversation_trie": ("conversations", "conv_id"), "op13_embedding_whitening": ("embeddings", "vec_id")}
+WITHOUT_SQL = sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - set(OTHER_TABLES))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -28,6 +30,18 @@ def test_rows(spark, name):
         assert rows.count() == documents.count()
 
 
+def test_rows_of_other_tables(spark):
+    trie = queries.QUERIES["op11_conversation_trie"](spark, FOLDER)
+    conversations = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    assert trie.where("depth = 0").select("n_convs").first()[0] == conversations.select("conv_id").distinct().count()
+    assert trie.select("conv_id").distinct().join(conversations, "conv_id", "left_anti").count() == 0
+    assert trie.groupBy("depth", "conv_id").count().where("count > 1").count() == 0
+    whitened = queries.QUERIES["op13_embedding_whitening"](spark, FOLDER)
+    embeddings = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    assert whitened.count() == embeddings.count() * 16
+    assert whitened.select("vec_id").distinct().join(embeddings, "vec_id", "left_anti").count() == 0
+
+
 def test_near_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op9_simhash_near_dedup(spark, FOLDER).collect()
