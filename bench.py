@@ -30,6 +30,20 @@ HEADLINE = [
 ]
 
 
+# Training-text queries, timed where their folder is present.
+TRAINING_TEXT = ["op2_line_dedup", "op8_exact_dedup", "op11_conversation_trie", "op12_token_counts", "op13_embedding_whitening"]
+
+
+def training_text_jobs() -> dict:
+    try:
+        import foliospark.llm.queries as training_text
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("foliospark.llm", "foliospark.llm.queries"):
+            raise
+        return {}
+    return {name: training_text.QUERIES[name] for name in TRAINING_TEXT if name in training_text.QUERIES}
+
+
 # Tables whose rows take much work each.
 TEXT_TABLES = ["documents", "pages", "conversations", "embeddings"]
 
@@ -47,7 +61,8 @@ def main() -> None:
     jobs = registry.queries(lambda name, path: dealt_out(spark, name, path))
     spark.read.parquet(f"{folder}/documents.parquet").count()  # start the executors
     seconds = {}
-    for name in HEADLINE:
+    jobs |= training_text_jobs()
+    for name in HEADLINE + [n for n in TRAINING_TEXT if n in jobs]:
         start = time.perf_counter()
         jobs[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
