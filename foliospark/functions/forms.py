@@ -34,11 +34,23 @@ def questions(text: Column | str) -> Column:
     asked = fixed.QUESTION_LINE.replace(r"^\s*", r"^(?=[^\n]*\?)[^\S\n]*").replace(r"\s*$", r"[^\S\n]*+$")
     found = F.concat(
         all_groups(col(text), flags(asked, "m"), 1),
-        all_groups(col(text), flags(by_line(fixed.NUMBERED_LINE), "m"), 1),
+        all_groups(col(text), flags(by_line(_linear_tail(fixed.NUMBERED_LINE)), "m"), 1),
     )
     return _first_spellings(F.filter(F.transform(found, strip_space), lambda q: q != ""))
 
 
+def _linear_tail(pattern: str) -> str:
+    r"""The pattern with its last group ``(.+?)\s*$`` taken in one pass.
+
+    The lazy group stops at the last non-blank character of the line, or takes one blank where the line
+    holds no other; ``(.*\S|(?=\s).)`` finds the same end without trying ``\s*$`` again from every
+    character, so a long run of blanks inside the group costs its length once.
+    """
+    tail = r"(.+?)\s*$"
+    assert pattern.endswith(tail), pattern
+    return pattern[: -len(tail)] + r"(.*\S|(?=\s).)\s*$"
+
+
 def _pairs(text: Column | str, pattern: str, left: str, right: str) -> Column:
     return F.zip_with(
         all_groups(col(text), pattern, 1),
@@ -49,7 +61,7 @@ def _pairs(text: Column | str, pattern: str, left: str, right: str) -> Column:
 
 def checkboxes(text: Column | str) -> Column:
     """Tick boxes with their labels."""
-    found = _pairs(text, flags(by_line(fixed.CHECKBOX_LINE), "im"), "box", "label")
+    found = _pairs(text, flags(by_line(_linear_tail(fixed.CHECKBOX_LINE)), "im"), "box", "label")
     return F.transform(
         found,
         lambda item: F.struct(
@@ -61,7 +73,7 @@ def checkboxes(text: Column | str) -> Column:
 
 def key_values(text: Column | str) -> Column:
     """``key : value`` or ``key - value`` lines."""
-    found = _pairs(text, flags(by_line(fixed.KEY_VALUE_LINE), "m"), "question", "answer")
+    found = _pairs(text, flags(by_line(_linear_tail(fixed.KEY_VALUE_LINE)), "m"), "question", "answer")
     cleaned = F.transform(
         found,
         lambda item: F.struct(
