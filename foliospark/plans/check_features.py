@@ -11,6 +11,7 @@ from foliospark.operators import features as fo
 from foliospark.plans import oracle_parts as sql
 from foliospark.plans.registry import register
 from foliospark.plans.rendered import ALL_TEXTS, CORPUS, Tables
+from foliospark.session import materialise
 
 NAMES = fo.STRUCTURAL_NAMES
 
@@ -171,7 +172,8 @@ def log_damping(t: Tables) -> DataFrame:
 
 @register("maxabs_scale", f"with {_SCALING} select d.doc_id, {_SCALED} from damped d, tops m")
 def maxabs_scale(t: Tables) -> DataFrame:
-    features = damped(t)
+    # read by the maxima and by the scaling: the texts are written out and counted once
+    features = materialise(damped(t), "damped")
     scaled = fo.apply_maxabs(features, fo.fit_maxabs(features, NAMES), NAMES)
     return scaled.select("doc_id", *[F.round(n, 6).alias(n) for n in NAMES])
 
