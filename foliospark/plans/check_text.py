@@ -15,6 +15,7 @@ from foliospark.plans import oracle_parts as sql
 from foliospark.plans.check_sources import document_lines
 from foliospark.plans.registry import register
 from foliospark.plans.rendered import Tables
+from foliospark.session import materialise
 
 # Conversations as documents: a conversation's turns are its pages.  In the OCR form the assistant's
 # pages are unreadable.
@@ -152,8 +153,10 @@ def choose_ocr(t: Tables) -> DataFrame:
     """,
 )
 def ocr_documents(t: Tables) -> DataFrame:
-    joined = pg.ocr_documents(ocr_attempts(t)).withColumnRenamed("word_count", "all_words")
-    last = pg.ocr_documents(ocr_attempts(t), compat_last_page=True)
+    # both forms read the same chosen pages: the attempts are cleaned and compared once
+    pages = materialise(pg.choose_ocr(ocr_attempts(t)), "chosen-pages")
+    joined = pg.ocr_documents(pages).withColumnRenamed("word_count", "all_words")
+    last = pg.ocr_documents(pages, compat_last_page=True)
     return joined.join(
         last.select("doc_id", F.col("word_count").alias("last_words")), "doc_id"
     ).withColumn("all_words", F.coalesce("all_words", F.lit(0)))
