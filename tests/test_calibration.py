@@ -47,3 +47,39 @@ def test_hand_solved_symmetric_case(spark):
     got = md.fit_calibration(frame, 2)
     for a, b in got:
         assert abs(a - math.log(n + 1)) < 1e-8 and abs(b) < 1e-8
+
+
+def test_rows_without_margins_or_label_and_steps_that_overshoot(spark):
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 2, 300)
+    # far apart margins: the full Newton step from no slope does not lower the loss everywhere
+    margins = np.where(labels[:, None] == np.arange(2)[None, :], 40.0, -0.5) + rng.normal(size=(300, 2)) * 5
+    rows = [(int(l), [float(x) for x in row]) for l, row in zip(labels, margins)]
+    schema = "label_index int, margins array<double>"
+    got = md.fit_calibration(spark.createDataFrame(rows, schema), 2)
+    for k in range(2):
+        positive = labels == k
+        inside = positive.sum()
+        high, low = (inside + 1) / (inside + 2), 1 / (300 - inside + 2)
+        t = np.where(positive, high, low)
+        p = 1 / (1 + np.exp(-(got[k][0] * margins[:, k] + got[k][1])))
+        assert abs(((p - t) * margins[:, k]).sum()) + abs((p - t).sum()) < 1e-5
+    # a row without margins counts in the targets only
+    with_gaps = md.fit_calibration(spark.createDataFrame(rows + [(None, None)], schema), 2)
+    assert np.allclose(with_gaps, got, atol=1e-8)
+
+
+def test_calibration_runs_one_pass_a_step(spark):
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 400)
+    margins = rng.normal(size=(400, 3)) + 2.0 * np.eye(3)[labels] - 1.0
+    frame = spark.createDataFrame(
+        [(int(l), [float(x) for x in row]) for l, row in zip(labels, margins)], "label_index int, margins array<double>"
+    )
+    spark.sparkContext.setJobGroup("calibration", "")
+    try:
+        md.fit_calibration(frame, 3)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("calibration")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 1 < len(jobs) <= 14  # 5 or 6 steps; two aggregates of several jobs each before
