@@ -9,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from foliospark.operators import model as md
-from foliospark.operators.features import FeatureModel
+from foliospark.operators.features import FeatureModel, prepared
 from foliospark.operators.imaging import page_quality
 from foliospark.operators.language import LanguageModel
 from foliospark.plans.classify import classify, split_unreadable
@@ -216,3 +216,15 @@ def test_page_measurements(spark):
     assert found["dark"]["dark_page"] and found["dark"]["dark_bands"] == 0
     assert found["header"]["dark_bands"] == 2 and not found["header"]["dark_page"]
     assert found["gray"]["error"] is None and found["gray"]["mean_level"] == 128
+
+
+def test_texts_taken_apart_before_give_the_same_model_and_scores(docs):
+    apart = prepared(docs, keep_text=True)
+    model, _ = train(docs, grid=False, max_folds=2)
+    # no text is needed where its terms are there
+    again, _ = train(apart.withColumn("text", F.lit("x")), grid=False, max_folds=2)
+    assert again.features == model.features
+    assert again.svm.weights == [pytest.approx(w, abs=1e-9) for w in model.svm.weights]
+    wanted = {r["doc_id"]: r["predicted"] for r in model.predict(docs).collect()}
+    got = {r["doc_id"]: r["predicted"] for r in model.predict(apart.drop("text")).collect()}
+    assert got == wanted
