@@ -78,7 +78,9 @@ def ocr_attempts(t: Tables) -> DataFrame:
     kinds = F.array(
         attempt(0, "tesseract", 6), attempt(1, "tesseract", 3), attempt(2, "easyocr", None)
     )
-    spread = document_lines(t).select("doc_id", "text", F.explode(kinds).alias("a"))
+    # dealt out by document as single lines: the attempts, three times that text, then meet where they are made
+    lines = document_lines(t).repartition("doc_id")
+    spread = lines.select("doc_id", "text", F.explode(kinds).alias("a"))
     return spread.select("doc_id", "a.page_no", "a.engine", "a.psm", "text")
 
 
@@ -153,8 +155,8 @@ def choose_ocr(t: Tables) -> DataFrame:
     """,
 )
 def ocr_documents(t: Tables) -> DataFrame:
-    # both forms read the same chosen pages: the attempts are cleaned and compared once
-    pages = materialise(pg.choose_ocr(ocr_attempts(t)), "chosen-pages")
+    # both forms read the same joined pages: the attempts are cleaned, compared and joined once
+    pages = materialise(pg.join_chosen(pg.choose_ocr(ocr_attempts(t))), "joined-pages", even=True)
     joined = pg.ocr_documents(pages).withColumnRenamed("word_count", "all_words")
     last = pg.ocr_documents(pages, compat_last_page=True)
     return joined.join(
